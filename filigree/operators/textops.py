@@ -22,7 +22,8 @@ def summarize_extractive(
 
     A sentence scores the mean idf of its terms (a boosted term counts twice), rounded to 6
     places; ties go to the earlier one. Sentences are taken by score while the sum of their
-    words stays within the limit, and the first that exceeds it ends the summary.
+    words stays within the limit, and the first that exceeds it ends the summary. The best
+    sentence is always taken.
     """
     if words is None:
         once = documents.select(key, F.explode(F.array_distinct(tf.terms(F.col(text)))).alias("term"))
@@ -38,7 +39,8 @@ def summarize_extractive(
     sized = split.select(key, "pos", "sentence", F.size(F.split("sentence", r"\s+")).alias("n"))
     best = Window.partitionBy(key).orderBy(F.desc("score"), "pos")
     running = F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    taken = sized.join(scores, [key, "pos"]).withColumn("running", running).filter(F.col("running") <= max_words)
+    scored = sized.join(scores, [key, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    taken = scored.withColumn("running", running).filter((F.col("running") <= max_words) | (F.col("running") == F.col("n")))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "sentence")))
     return taken.groupBy(key).agg(
         F.array_join(F.transform(ordered, lambda s: s["sentence"]), ". ").alias("summary"),
