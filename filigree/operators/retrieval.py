@@ -45,7 +45,7 @@ def _with_payload(found: DataFrame, bounded: bool, chunks: DataFrame) -> DataFra
     """
     hits = F.broadcast(found) if bounded else found
     return chunks.join(hits, "chunk_id").select(
-        "query_id", "rank", F.round("score", 4).alias("score"), "chunk_id",
+        "query_id", "rank", "score", "chunk_id",
         *[c for c in chunks.columns if c not in ("chunk_id", "ticker", "embedding")],
     )
 

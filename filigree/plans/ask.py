@@ -13,6 +13,7 @@ from filigree.operators.conversation import clean_history, format_history, last_
 from filigree.operators.retrieval import TermIndex, lexical_search
 from filigree.operators.routing import route_query
 from filigree.operators.suggestions import suggest_followups
+from filigree.rules import FollowupRules
 from filigree.session import materialize
 
 
@@ -26,10 +27,10 @@ class Asked:
     prompts: DataFrame
     messages: DataFrame
 
-    def responses(self, answers: DataFrame) -> DataFrame:
+    def responses(self, answers: DataFrame, rules: FollowupRules = FollowupRules()) -> DataFrame:
         """Final rows for answers (query_id, answer) made from the prompts."""
         full = self.requests.join(answers, "query_id", "left")
-        suggestions = suggest_followups(full, self.hits, self.messages)
+        suggestions = suggest_followups(full, self.hits, self.messages, rules)
         return build_responses(self.requests, answers, self.hits, self.citations, suggestions)
 
 

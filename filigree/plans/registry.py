@@ -493,7 +493,7 @@ def ask(spark, sf):
     """Questions to responses: retrieve, cite, suggest, assemble."""
     requests, before = D.last_questions(spark, sf)
     asked = ask_flow(Q.term_index(D.chunks(spark, sf)), requests.drop("answer"), before)
-    rows = asked.responses(requests.select("query_id", "answer"))
+    rows = asked.responses(requests.select("query_id", "answer"), D.RULES)
     sources = F.transform("citations", lambda c: F.concat_ws("/", c["company"], c["ticker"], c["filing"], c["section"]))
     return rows.select("query_id", "answer", line(sources).alias("citations"), line("suggested_queries").alias("suggested_queries"))
 
