@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from filigree.functions.text import strip_space
 from filigree.operators import terms as tf
 from filigree.operators.topk import TermScorer, VectorScorer, top_k
+from filigree.session import materialize
 
 
 def normalize_companies(companies: Column, kind: str) -> Column:
@@ -64,27 +65,48 @@ def knn_search(vectors: DataFrame, requests: DataFrame, k: int = 3) -> DataFrame
 
 @dataclass(frozen=True)
 class TermIndex:
-    """Weights of every chunk and the vocabulary they were made with."""
+    """`terms` has the counted terms of every chunk and the length of its tf-idf vector."""
 
     chunks: DataFrame
-    weights: DataFrame
+    terms: DataFrame
     words: tf.Vocabulary
 
 
 def term_index(chunks: DataFrame) -> TermIndex:
-    """Index chunks (chunk_id, ticker, content, ...) for `lexical_search`."""
-    postings = tf.term_counts(chunks, ["chunk_id", "ticker"], "content")
-    words = tf.vocabulary(postings, chunks)
-    return TermIndex(chunks, tf.unit_vectors(tf.with_idf(postings, words), ["chunk_id", "ticker"]), words)
+    """Index chunks (chunk_id, ticker, content, ...) for `lexical_search`.
+
+    The texts are tokenized once; the counted terms are stored and everything else reads them.
+    """
+    counted = materialize(tf.counted_terms(chunks, ["chunk_id", "ticker"], "content"), "terms")
+    words = tf.vocabulary(counted)
+    sums = tf.idf_sums(counted, ["chunk_id", "ticker"], words)
+    return TermIndex(chunks, sums.select("chunk_id", "ticker", "terms", "counts", "norm"), words)
+
+
+def _weighted(requests: DataFrame, words: tf.Vocabulary) -> DataFrame:
+    """(query_id, terms, weights): tf * idf * idf over the length of the tf-idf vector.
+
+    One idf is the request's own, the other belongs to the chunk side of the product, which
+    therefore needs only its counts and its length.
+    """
+    counted = tf.counted_terms(requests, ["query_id"], "query")
+    rows = tf.with_idf(counted, ["query_id"], words)
+    own = F.col("tf") * F.col("idf")
+    grouped = rows.groupBy("query_id").agg(
+        F.collect_list(F.struct("term", (own * F.col("idf")).alias("w"))).alias("pairs"),
+        F.sqrt(F.sum(own * own)).alias("norm"),
+    )
+    return grouped.select(
+        "query_id", F.col("pairs.term").alias("terms"),
+        F.transform("pairs", lambda p: p["w"] / F.col("norm")).alias("weights"),
+    )
 
 
 def lexical_search(index: TermIndex, requests: DataFrame, k: int = 3) -> DataFrame:
     """The k chunks with the highest tf-idf cosine per request; chunks without a shared term are no hits."""
     asked = valid_query(requests)
-    counted = tf.term_counts(asked, ["query_id"], "query")
-    weights = tf.unit_vectors(tf.with_idf(counted, index.words), ["query_id"])
-    weighted = asked.select("query_id", "companies").join(weights, "query_id")
-    found, bounded = top_k(index.weights, weighted, TermScorer, k)
+    weighted = asked.select("query_id", "companies").join(_weighted(asked, index.words), "query_id")
+    found, bounded = top_k(index.terms, weighted, TermScorer, k)
     return _with_payload(found, bounded, index.chunks)
 
 

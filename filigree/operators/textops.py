@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.operators import terms as tf
+from filigree.session import materialize
 
 
 def sentences(text: Column) -> Column:
@@ -26,20 +27,15 @@ def summarize_extractive(
     sentence is always taken.
     """
     if words is None:
-        once = documents.select(key, F.explode(F.array_distinct(tf.terms(F.col(text)))).alias("term"))
-        words = tf.vocabulary(once, documents)
+        words = tf.vocabulary(materialize(tf.counted_terms(documents, [key], text), "terms"))
     split = documents.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
-    counts = tf.term_counts(split, [key, "pos"], "sentence")
-    weight = F.col("idf") * F.col("tf")
-    if boost:
-        weight = weight * F.when(F.col("term").isin([b.lower() for b in boost]), 2).otherwise(1)
-    scores = tf.with_idf(counts, words).groupBy(key, "pos").agg(
-        F.round(F.sum(weight) / F.sum("tf"), 6).alias("score")
+    scores = tf.idf_sums(tf.counted_terms(split, [key, "pos", "sentence"], "sentence"), [key, "pos"], words, boost)
+    scored = scores.select(
+        key, "pos", "sentence", F.size(F.split("sentence", r"\s+")).alias("n"),
+        F.round(F.coalesce("mean_idf", F.lit(0.0)), 6).alias("score"),
     )
-    sized = split.select(key, "pos", "sentence", F.size(F.split("sentence", r"\s+")).alias("n"))
     best = Window.partitionBy(key).orderBy(F.desc("score"), "pos")
     running = F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    scored = sized.join(scores, [key, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     taken = scored.withColumn("running", running).filter((F.col("running") <= max_words) | (F.col("running") == F.col("n")))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "sentence")))
     return taken.groupBy(key).agg(
@@ -82,9 +78,8 @@ def compare_weights(pairs: DataFrame, words: tf.Vocabulary, key: str = "pair_id"
     of rows.
     """
     split = pairs.filter(F.size(texts) >= 2).select(key, F.posexplode(texts).alias("other", "text"))
-    weighted = tf.with_idf(tf.term_counts(split, [key, "other"], "text"), words).withColumn(
-        "w", F.col("tf") * F.col("idf")
-    )
+    rows = tf.with_idf(tf.counted_terms(split, [key, "other"], "text"), [key, "other"], words)
+    weighted = rows.withColumn("w", F.col("tf") * F.col("idf"))
     first = weighted.filter("other = 0").select(key, "term", F.col("w").alias("w0"))
     dots = weighted.filter("other > 0").join(first, [key, "term"], "left").groupBy(key, "other").agg(
         F.sum(F.col("w") * F.coalesce("w0", F.lit(0.0))).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("nn")

@@ -75,7 +75,7 @@ class VectorScorer:
 
 
 class TermScorer:
-    """Inner product of sparse term weights.
+    """Inner product of sparse request weights and term counts scaled by the row's `norm`.
 
     Terms that many requests share go through one matrix product; the long tail is added
     posting by posting.
@@ -100,10 +100,12 @@ class TermScorer:
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
         terms, size = batch.column("terms"), batch.num_rows
-        row = np.repeat(np.arange(size), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+        lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(size), lengths)
         code = pc.fill_null(pc.index_in(terms.flatten(), value_set=self.vocabulary), -1)
         code = code.to_numpy(zero_copy_only=False)
-        weight = batch.column("weights").flatten().to_numpy(zero_copy_only=False)
+        norm = batch.column("norm").to_numpy(zero_copy_only=False)
+        weight = batch.column("counts").flatten().to_numpy(zero_copy_only=False) / np.repeat(norm, lengths)
         common = (code >= 0) & (code < self.dense)
         block = np.zeros((size, self.dense))
         block[row[common], code[common]] = weight[common]

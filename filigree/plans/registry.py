@@ -27,7 +27,7 @@ from filigree.operators import terms as W
 from filigree.operators import textops as O
 from filigree.plans import standins as D
 from filigree.plans.ask import ask as ask_flow
-from filigree.session import scratch_path
+from filigree.session import materialize, scratch_path
 from filigree.sources import collection as L
 from filigree.sources import companies as B
 from filigree.sources import filings as E
@@ -543,7 +543,7 @@ def compare_texts(spark, sf):
 @query
 def compare_weights(spark, sf):
     documents = D.table(spark, sf, "documents").select("doc_id", "text")
-    words = W.vocabulary(W.term_counts(documents, ["doc_id"], "text"), documents)
+    words = W.vocabulary(materialize(W.counted_terms(documents, ["doc_id"], "text"), "terms"))
     return O.compare_weights(_pairs(spark, sf), words)
 
 
