@@ -160,7 +160,7 @@ def extract_sections(spark, sf):
         F.lit("Contents\nItem 1A. Risk Factors\nITEM 7. Discussion\nItem 1A. Risk Factors\n"), F.col("text"),
         F.lit("\n  item 7. Discussion\n"), F.col("lang"), F.lit(" "), F.col("text"), F.lit("\nItem 8. Statements\nnone"),
     )
-    filings = D.table(spark, sf, "documents").select("doc_id", body.alias("text"))
+    filings = D.documents(spark, sf).select("doc_id", body.alias("text"))
     return C.extract_sections(filings)
 
 
@@ -526,7 +526,7 @@ def trend_text(spark, sf):
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its successor."""
-    documents = D.table(spark, sf, "documents").select("doc_id", "text")
+    documents = D.documents(spark, sf).select("doc_id", "text")
     after = documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     return documents.join(after, "doc_id").select(F.col("doc_id").alias("pair_id"), F.array("text", "other").alias("texts"))
 
@@ -542,11 +542,11 @@ def compare_texts(spark, sf):
 
 @query
 def compare_weights(spark, sf):
-    documents = D.table(spark, sf, "documents").select("doc_id", "text")
+    documents = D.documents(spark, sf).select("doc_id", "text")
     words = W.vocabulary(materialize(W.counted_terms(documents, ["doc_id"], "text"), "terms"))
     return O.compare_weights(_pairs(spark, sf), words)
 
 
 @query
 def summarize_extractive(spark, sf):
-    return O.summarize_extractive(D.table(spark, sf, "documents").select("doc_id", "text"))
+    return O.summarize_extractive(D.documents(spark, sf).select("doc_id", "text"))

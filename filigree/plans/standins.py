@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from filigree import rules as R
 from filigree.functions import text as X
 from filigree.functions.chunking import chunk_rows
+from filigree.session import spread
 
 TOPICS = {
     "revenue": ["thble", "heitlich"],
@@ -46,6 +47,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
 
@@ -88,7 +93,7 @@ def section_of() -> Column:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut into chunks with metadata."""
-    rows = table(spark, sf_dir, "documents").select(
+    rows = documents(spark, sf_dir).select(
         "doc_id", F.col("source").alias("ticker"), F.col("lang").alias("filing_type"),
         F.col("doc_id").cast("string").alias("accession_number"), section_of().alias("section"), "text",
     )
@@ -106,10 +111,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, with the document of the same number as content."""
-    documents = table(spark, sf_dir, "documents").select(
+    texts = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), "source", "lang", section_of().alias("section"),
     )
-    rows = table(spark, sf_dir, "embeddings").join(documents, "vec_id", "left")
+    rows = table(spark, sf_dir, "embeddings").join(texts, "vec_id", "left")
     ticker = F.col("label").cast("string")
     return rows.select(
         F.col("vec_id").alias("chunk_id"), ticker.alias("ticker"), "embedding", F.coalesce("content", F.lit("")).alias("content"),

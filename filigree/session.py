@@ -55,3 +55,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, most: int = 64) -> DataFrame:
+    """Spread a scan of few partitions over all cores before costly work on its rows.
+
+    A small table may sit in one row group and keep one core busy. A scan of `most` or more
+    partitions is left as it is, so no large table is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, most) else df
