@@ -40,7 +40,7 @@ def chunk_rows(
     already holds all of it.
     """
     keep = [F.col(c) for c in df.columns if c != text]
-    cut = df.select(*keep, strides(F.col(text), size, overlap, snap).alias("_strides"))
+    cut = df.filter(F.length(text) > 0).select(*keep, strides(F.col(text), size, overlap, snap).alias("_strides"))
     parts = F.col("_strides")
     tail_is_covered = (F.size(parts) > 1) & (F.length(F.element_at(parts, -1)) <= overlap)
     count = F.size(parts) - F.when(tail_is_covered, 1).otherwise(0)
@@ -48,5 +48,4 @@ def chunk_rows(
         F.slice(parts, F.lit(1), count),
         lambda part, i: F.concat(part, F.left(F.coalesce(F.get(parts, i + 1), F.lit("")), F.lit(overlap))),
     )
-    sized = cut.filter(F.size(parts) > 0)
-    return sized.select(*keep, F.posexplode(chunks).alias("chunk_index", "content"))
+    return cut.select(*keep, F.posexplode(chunks).alias("chunk_index", "content"))

@@ -20,9 +20,13 @@ def contains_any(lowered: Column, words: Iterable[str]) -> Column:
 
 
 def tags(lowered: Column, dictionary: Mapping[str, Iterable[str]]) -> Column:
-    """Names whose words occur in the text, in dictionary order."""
+    """Names whose words occur in the text, in dictionary order.
+
+    Nulls are removed with `array_except`: unlike `array_compact` it has generated code, which
+    keeps the whole projection compiled. Names are unique, so nothing else is removed.
+    """
     hits = [F.when(contains_any(lowered, words), F.lit(name)) for name, words in dictionary.items()]
-    return F.array_compact(F.array(*hits))
+    return F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
 
 
 def word_tags(lowered: Column, words: Iterable[str]) -> Column:

@@ -74,16 +74,21 @@ def compare_texts(pairs: DataFrame, texts: str = "texts", focus: list[str] | Non
 def compare_weights(pairs: DataFrame, words: tf.Vocabulary, key: str = "pair_id", texts: str = "texts") -> DataFrame:
     """(key, other, cosine): tf-idf cosine of the first text of a row with each other one.
 
-    Postings meet on the row and the term, so the work grows with the texts, not with pairs
-    of rows.
+    Terms meet within their row, so the work grows with the texts, not with pairs of rows. A
+    text without terms gives no row.
     """
     split = pairs.filter(F.size(texts) >= 2).select(key, F.posexplode(texts).alias("other", "text"))
     rows = tf.with_idf(tf.counted_terms(split, [key, "other"], "text"), [key, "other"], words)
-    weighted = rows.withColumn("w", F.col("tf") * F.col("idf"))
-    first = weighted.filter("other = 0").select(key, "term", F.col("w").alias("w0"))
-    dots = weighted.filter("other > 0").join(first, [key, "term"], "left").groupBy(key, "other").agg(
-        F.sum(F.col("w") * F.coalesce("w0", F.lit(0.0))).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("nn")
-    )
-    norm = first.groupBy(key).agg(F.sum(F.col("w0") * F.col("w0")).alias("n0"))
+    # One shuffle: all groupings below are within a row of `pairs`.
+    weighted = rows.select(key, "other", "term", (F.col("tf") * F.col("idf")).alias("w")).repartition(key)
+    def of_first(value: str, *within: str) -> Column:
+        return F.max(F.when(F.col("other") == 0, F.col(value))).over(Window.partitionBy(*within))
+
+    met = weighted.withColumn("w0", F.coalesce(of_first("w", key, "term"), F.lit(0.0)))
+    sums = met.groupBy(key, "other").agg(
+        F.sum(F.col("w") * F.col("w0")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("nn")
+    ).withColumn("n0", of_first("nn", key))
     cosine = F.try_divide(F.col("dot"), F.sqrt("nn") * F.sqrt("n0"))
-    return dots.join(norm, key, "left").select(key, "other", F.round(F.coalesce(cosine, F.lit(0.0)), 4).alias("cosine"))
+    return sums.filter(F.col("other") > 0).select(
+        key, "other", F.round(F.coalesce(cosine, F.lit(0.0)), 4).alias("cosine")
+    )
