@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from filigree.functions.text import valid_utf8
 from filigree.rules import FILINGS_PER_TYPE
 
-TREE = r"/sec-edgar-filings/([^/]+)/([^/]+)/([^/]+)/([^/]+)$"
+TREE = "sec-edgar-filings"
 ACCESSION = r"^\d{10}-\d{2}-\d{6}"
 FILING_KEY = ["ticker", "filing_type", "accession_number"]
 # Upper bound of the list of fallback paths pushed into a scan.
@@ -21,9 +21,11 @@ MAX_LISTED_PATHS = 5000
 
 def parse_paths(files: DataFrame) -> DataFrame:
     """Key columns and file name of every path of the tree; other paths give no row."""
-    parts = ["ticker", "filing_type", "accession_number", "file_name"]
-    keyed = files.filter(F.col("path").rlike(TREE))
-    return keyed.select("path", *[F.regexp_extract("path", TREE, i + 1).alias(c) for i, c in enumerate(parts)])
+    parts = F.col("_parts")
+    names = ["ticker", "filing_type", "accession_number", "file_name"]
+    split = files.filter(F.contains("path", F.lit(f"/{TREE}/"))).select("path", F.split("path", "/").alias("_parts"))
+    inside = split.filter((F.get(parts, F.size(parts) - 5) == TREE) & ~F.array_contains(F.slice(parts, -4, 4), ""))
+    return inside.select("path", *[F.element_at(parts, i - 4).alias(name) for i, name in enumerate(names)])
 
 
 def filing_files(spark: SparkSession, root: str) -> DataFrame:
@@ -77,8 +79,9 @@ def pick_primary_document(files: DataFrame) -> DataFrame:
         F.col("file_name") == "full-submission.txt", 1
     )
     ranked = files.withColumn("_p", priority).filter(F.col("_p").isNotNull())
-    best = ranked.groupBy(*FILING_KEY).agg(F.min(F.struct("_p", "file_name", "path")).alias("best"))
-    return best.select(*FILING_KEY, F.col("best.file_name").alias("file_name"), F.col("best.path").alias("path"))
+    best = ranked.groupBy(*FILING_KEY).agg(F.min(F.struct("_p", "path")).alias("best"))
+    path = F.col("best.path")
+    return best.select(*FILING_KEY, F.element_at(F.split(path, "/"), -1).alias("file_name"), path.alias("path"))
 
 
 def read_documents(spark: SparkSession, root: str, picks: DataFrame) -> DataFrame:
