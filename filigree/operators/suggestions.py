@@ -16,7 +16,7 @@ from filigree.functions.sets import (
     missing_sections, options_for, other_companies, pick, priority_topics, union_suggestions,
 )
 from filigree.operators.context import collect_metadata
-from filigree.operators.conversation import history_profile, user_topics
+from filigree.operators.conversation import history_profile, last_n_messages, user_topics
 from filigree.operators.routing import tag_query_patterns
 
 EMPTY = "cast(array() as array<string>)"
@@ -36,24 +36,31 @@ def compared_before(first: Column, second: Column, asked: Column) -> Column:
     )
 
 
-def drop_asked_questions(candidates: DataFrame, messages: DataFrame) -> DataFrame:
-    """Candidates (conv_id, text) that do not overlap a user message of their conversation.
+def _recent_questions(messages: DataFrame, window: int) -> DataFrame:
+    """(_c, _m): lower-cased user messages among the last `window` of each conversation."""
+    recent = last_n_messages(messages, window).filter(F.col("role") == "user")
+    return recent.select(F.col("conv_id").alias("_c"), F.lower("content").alias("_m"))
 
-    An anti-join on the conversation with the containment test as residual condition; it
-    stops at the first match and never emits the matches.
+
+def drop_asked_questions(candidates: DataFrame, messages: DataFrame, window: int = R.HISTORY_WINDOW) -> DataFrame:
+    """Candidates (conv_id, text) that do not overlap a recent user message of their conversation.
+
+    An anti-join on the conversation with the containment test as residual condition. A
+    candidate meets at most `window` messages, however long its conversation is.
     """
-    users = messages.filter(F.col("role") == "user").select(F.col("conv_id").alias("_c"), F.lower("content").alias("_m"))
     low = F.lower(F.col("text"))
     hit = F.contains(F.col("_m"), low) | F.contains(low, F.col("_m"))
-    return candidates.join(users, (F.col("conv_id") == F.col("_c")) & hit, "left_anti")
+    asked = _recent_questions(messages, window)
+    return candidates.join(asked, (F.col("conv_id") == F.col("_c")) & hit, "left_anti")
 
 
-def drop_asked_comparisons(candidates: DataFrame, messages: DataFrame, word: str = "compare") -> DataFrame:
-    """Candidates (conv_id, company, other) that no user message of the conversation compares."""
-    users = messages.filter(F.col("role") == "user").select(F.col("conv_id").alias("_c"), F.lower("content").alias("_m"))
-    users = users.filter(F.contains("_m", F.lit(word)))
+def drop_asked_comparisons(
+    candidates: DataFrame, messages: DataFrame, word: str = "compare", window: int = R.HISTORY_WINDOW
+) -> DataFrame:
+    """Candidates (conv_id, company, other) that no recent user message of the conversation compares."""
+    asked = _recent_questions(messages, window).filter(F.contains("_m", F.lit(word)))
     hit = F.contains(F.col("_m"), F.lower("company")) & F.contains(F.col("_m"), F.lower("other"))
-    return candidates.join(users, (F.col("conv_id") == F.col("_c")) & hit, "left_anti")
+    return candidates.join(asked, (F.col("conv_id") == F.col("_c")) & hit, "left_anti")
 
 
 def _content(hits: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ from pyspark.sql import types as T
 
 MAX_BROADCAST_REQUESTS = 8192
 MAX_BROADCAST_BYTES = 64 << 20
+# Upper bound of requests x k up to which the hits may be broadcast to fetch their chunks.
+MAX_BROADCAST_HITS = 200_000
+# Scoring tasks per core: every task hands on k rows per request, so very many small tasks
+# would only enlarge the last shuffle.
+TASKS_PER_CORE = 4
 BLOCK_REQUESTS = 4096
 BLOCK_ROWS = 65536
 # Cells of one score block: bounds the memory of a task whatever the batch size is.
@@ -182,12 +187,13 @@ def _bounded(requests: DataFrame) -> pa.Table | None:
 
 
 def _scan(corpus: DataFrame, table: pa.Table, scorer: type, k: int, schema: T.StructType, id_type) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(table)
+    context = corpus.sparkSession.sparkContext
+    shared = context.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _score(shared.value, batches, scorer, k, id_type).to_batches()
 
-    return corpus.mapInArrow(run, schema)
+    return corpus.coalesce(TASKS_PER_CORE * context.defaultParallelism).mapInArrow(run, schema)
 
 
 def _blocks(corpus: DataFrame, requests: DataFrame, scorer: type, k: int, schema: T.StructType, id_type) -> DataFrame:
@@ -210,7 +216,7 @@ def _blocks(corpus: DataFrame, requests: DataFrame, scorer: type, k: int, schema
 
 
 def top_k(corpus: DataFrame, requests: DataFrame, scorer: type, k: int) -> tuple[DataFrame, bool]:
-    """(query_id, chunk_id, score, rank) with rank 1..k, and whether the row count is bounded.
+    """(query_id, chunk_id, score, rank) with rank 1..k, and whether that is few enough rows to broadcast.
 
     `corpus` has chunk_id, ticker and the scorer's columns; `requests` has query_id,
     companies and the scorer's columns.
@@ -229,7 +235,7 @@ def top_k(corpus: DataFrame, requests: DataFrame, scorer: type, k: int) -> tuple
         found = _blocks(corpus, requests, scorer, k, schema, id_type)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked, table is not None
+    return ranked, table is not None and table.num_rows * k <= MAX_BROADCAST_HITS
 
 
 def _pruned(corpus: DataFrame, table: pa.Table, limit: int = 1000) -> DataFrame:

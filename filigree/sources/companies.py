@@ -20,7 +20,8 @@ def display_names(spark: SparkSession) -> DataFrame:
 
 def list_companies(chunks: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """(ticker, name) of the companies that have chunks; the dimension's name wins."""
-    seen = chunks.groupBy("ticker").agg(F.min("company").alias("company"))
+    # Distinct first: hashed without a sort, and all that is left to sort is one row per name.
+    seen = chunks.select("ticker", "company").distinct().groupBy("ticker").agg(F.min("company").alias("company"))
     if companies is None:
         return seen.select("ticker", F.coalesce("company", "ticker").alias("name"))
     named = companies.groupBy("ticker").agg(F.min("name").alias("name"))

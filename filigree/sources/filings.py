@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from filigree.functions.text import valid_utf8
 from filigree.rules import FILINGS_PER_TYPE
+from filigree.session import materialize
 
 TREE = "sec-edgar-filings"
 ACCESSION = r"^\d{10}-\d{2}-\d{6}"
 FILING_KEY = ["ticker", "filing_type", "accession_number"]
-# Upper bound of the list of fallback paths pushed into a scan.
-MAX_LISTED_PATHS = 5000
+# Upper bound of a list of paths pushed into a scan.
+MAX_LISTED_PATHS = 20_000
 
 
 def parse_paths(files: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def parse_paths(files: DataFrame) -> DataFrame:
 def filing_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, ticker, filing_type, accession_number, file_name) below a root folder."""
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return parse_paths(source.load(root).select("path"))
+    return parse_paths(source.load(root).select(F.col("_metadata.file_path").alias("path")))
 
 
 def valid_accession(accession: Column) -> Column:
@@ -87,20 +88,17 @@ def pick_primary_document(files: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, root: str, picks: DataFrame) -> DataFrame:
     """`picks` with the `text` of their document, invalid UTF-8 replaced.
 
-    File names are tested during listing, so the scan of the pages opens no other file. The
-    large submission files are opened only for filings without a page: by a list of paths
-    while that list is short, else by a join over all of them.
+    The binary source reads every file that passes listing, and tests on the file path or name
+    are made during listing. So the picked paths are pushed as a list while it is short. Beyond
+    that the scan is limited by name to possible documents and joined with the picks.
     """
-    def scan() -> DataFrame:
-        source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        return source.select("path", "content", F.lower("_metadata.file_name").alias("_name"))
-
-    is_text = F.col("file_name") == "full-submission.txt"
-    pages = scan().filter(F.col("_name").endswith(".htm") | F.col("_name").endswith(".html"))
-    texts = scan().filter(F.col("_name") == "full-submission.txt")
-    fallback = picks.filter(is_text)
-    listed = [row.path for row in fallback.select("path").limit(MAX_LISTED_PATHS + 1).collect()]
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = source.select(F.col("_metadata.file_path").alias("path"), F.lower("_metadata.file_name").alias("_name"), "content")
+    picks = materialize(picks, "picks")
+    listed = [row.path for row in picks.select("path").limit(MAX_LISTED_PATHS + 1).collect()]
     if len(listed) <= MAX_LISTED_PATHS:
-        texts = texts.filter(F.col("path").isin(listed))
-    found = picks.filter(~is_text).join(pages, "path").unionByName(fallback.join(texts, "path"))
-    return found.select(*[c for c in picks.columns], valid_utf8(F.col("content")).alias("text"))
+        files = files.filter(F.col("path").isin(listed))
+    else:
+        name = F.col("_name")
+        files = files.filter(name.endswith(".htm") | name.endswith(".html") | (name == "full-submission.txt"))
+    return picks.join(files, "path").select(*picks.columns, valid_utf8(F.col("content")).alias("text"))
