@@ -1,4 +1,4 @@
-"""A table of questions against a collection."""
+"""A table of questions against a collection: the retrieval route and the agent route."""
 
 from __future__ import annotations
 
@@ -7,19 +7,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.functions.prompts import rag_prompt
-from filigree.operators.context import assemble_context, build_responses, dedupe_citations
+from filigree.functions.prompts import agent_prompt, rag_prompt
+from filigree.operators import context as K
 from filigree.operators.conversation import clean_history, format_history, last_n_messages
 from filigree.operators.retrieval import TermIndex, lexical_search
 from filigree.operators.routing import route_query
-from filigree.operators.suggestions import suggest_followups
-from filigree.rules import FollowupRules
+from filigree.operators.suggestions import suggest_agent_followups, suggest_followups
+from filigree.rules import AgentRules, FollowupRules
 from filigree.session import materialize
 
 
 @dataclass(frozen=True)
 class Asked:
-    """Everything known about the requests before and after the model has answered."""
+    """What is known before a model has answered.
+
+    `requests` are those of the retrieval route, with their `hits` and `citations`; `prompts`
+    (query_id, route, prompt) covers both routes.
+    """
 
     requests: DataFrame
     hits: DataFrame
@@ -28,27 +32,57 @@ class Asked:
     messages: DataFrame
 
     def responses(self, answers: DataFrame, rules: FollowupRules = FollowupRules()) -> DataFrame:
-        """Final rows for answers (query_id, answer) made from the prompts."""
+        """Final rows of the retrieval route for answers (query_id, answer) to its prompts."""
         full = self.requests.join(answers, "query_id", "left")
         suggestions = suggest_followups(full, self.hits, self.messages, rules)
-        return build_responses(self.requests, answers, self.hits, self.citations, suggestions)
+        return K.build_responses(self.requests, answers, self.hits, self.citations, suggestions)
 
 
-def ask(index: TermIndex, requests: DataFrame, messages: DataFrame, k: int = 3) -> Asked:
-    """Retrieve once, then derive contexts, citations and prompts from the stored hits."""
-    hits = materialize(lexical_search(index, requests, k), "hits")
-    history = format_history(clean_history(messages))
-    recent = last_n_messages(history).groupBy("conv_id").agg(
+def history_lines(messages: DataFrame) -> DataFrame:
+    """(conv_id, lines): the last messages of each conversation as `role: content`."""
+    return last_n_messages(messages).groupBy("conv_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("turn", "role", "content"))),
             lambda m: F.concat(m["role"], F.lit(": "), m["content"]),
         ).alias("lines")
     )
-    routed = route_query(requests)
-    prompts = (
-        routed.filter(~F.col("to_agent"))
-        .join(assemble_context(requests, hits), "query_id")
-        .join(recent, "conv_id", "left")
-        .select("query_id", rag_prompt(F.col("query"), F.col("context"), F.col("lines")).alias("prompt"))
+
+
+def ask(index: TermIndex, requests: DataFrame, messages: DataFrame, k: int = 3, agent: bool = True) -> Asked:
+    """Route, retrieve once, then derive contexts, citations and prompts from the stored hits.
+
+    Requests of the agent route only get a prompt here; what its tools return comes in through
+    `agent_responses`. Without the agent every request takes the retrieval route.
+    """
+    history = format_history(clean_history(messages))
+    routed = route_query(requests, agent=agent)
+    direct = routed.filter(~F.col("to_agent")).drop("to_agent")
+    hits = materialize(lexical_search(index, direct, k), "hits")
+    rag = (
+        direct.join(K.assemble_context(direct, hits), "query_id")
+        .join(history_lines(history), "conv_id", "left")
+        .select("query_id", F.lit("rag").alias("route"),
+                rag_prompt(F.col("query"), F.col("context"), F.col("lines")).alias("prompt"))
+    )
+    by_agent = routed.filter("to_agent").select(
+        "query_id", F.lit("agent").alias("route"), agent_prompt(F.col("query"), F.col("companies")).alias("prompt")
+    )
+    return Asked(direct, hits, K.dedupe_citations(hits), rag.unionByName(by_agent), history)
+
+
+def agent_responses(
+    requests: DataFrame, steps: DataFrame, answers: DataFrame, messages: DataFrame, rules: AgentRules = AgentRules()
+) -> DataFrame:
+    """Final rows of the agent route from its steps and answers.
+
+    Citations come from the retriever steps; a request without any step gets those its answer
+    and companies allow.
+    """
+    full = requests.drop("answer").join(answers.select("query_id", "answer"), "query_id", "left")
+    without = full.join(steps.select("query_id"), "query_id", "left_anti")
+    cited = K.collect_citations(K.agent_citations(steps).unionByName(K.fallback_citations(without)))
+    suggestions = suggest_agent_followups(full, steps, messages, rules)
+    return (
+        full.select("query_id", "answer").join(cited, "query_id", "left").join(suggestions, "query_id", "left")
+        .select("query_id", "answer", "citations", "suggested_queries")
     )
-    return Asked(requests, hits, dedupe_citations(hits), prompts, history)

@@ -220,6 +220,14 @@ oracle("ingest_stream", """
     from (select *, unnest(range(0, greatest(length(text) - 101, 0) // 900 + 1)) as i
           from documents where length(text) > 0)""")
 
+oracle("read_document", """
+    select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', chr(65533), 'g') as text from documents""")
+oracle("valid_accession", "select o_orderkey, o_orderstatus <> 'P' as valid from orders")
+oracle("filter_companies", "select chunk_id, ticker from chunks where ticker in ('src3', 'src5')", ["chunks"])
+oracle("embed", """
+    select chunk_id, length(content)::int as n_chars, (length(content) - length(replace(content, 'e', '')))::int as n_e
+    from chunks""", ["chunks"])
+
 # -- scalar and text -------------------------------------------------------
 
 oracle("filing_url", f"""
@@ -246,6 +254,17 @@ oracle("extract_sections", f"""
         select doc_id, {lit(R.TARGET_SECTIONS["7"])}, {strip("lang || ' ' || text")} from documents)
     where text <> ''""")
 oracle("chunk_text", "select doc_id, chunk_index::int as chunk_index, content from chunks", ["chunks"])
+oracle("chunk_text_snapped", r"""
+    with recursive s as (
+        select doc_id, text, 1::bigint as p, 0::bigint as n, 0 as i from documents where length(text) > 0
+        union all
+        select doc_id, text, p + n, case when length(text) - p - n + 1 <= 900 then length(text) - p - n + 1 else
+            coalesce(nullif(length(regexp_extract(substring(text, p + n, 900), '(?s)^(..*\s)', 1)), 0), 900) end, i + 1
+        from s where p + n <= length(text)),
+    strides as (select doc_id, i - 1 as i, substring(text, p, n) as x from s where i > 0)
+    select a.doc_id, a.i::int as chunk_index, a.x || coalesce(substring(b.x, 1, 100), '') as content
+    from strides a left join strides b on b.doc_id = a.doc_id and b.i = a.i + 1
+    where a.i = 0 or b.x is not null or length(a.x) > 100""")
 oracle("chunk_counts", """
     select ticker, filing_type, doc_id::varchar as accession_number, section, count(*) as n_chunks,
         sum(length(content))::bigint as n_chars from chunks group by all""", ["chunks"])
@@ -331,6 +350,10 @@ oracle("fallback_citations", f"""
 
 # -- routing and tags ------------------------------------------------------
 
+oracle("valid_query", "select conv_id, turn, content as query from m where turn % 3 = 0", ["m"])
+oracle("normalize_companies", """
+    select doc_id, source, source || '|' || lang as listed, '' as n_chars from documents""")
+
 oracle("route_query", f"select query_id, conv_id % 3 = 2 or {has('lower(query)', D.ROUTING)} as to_agent from asked", ["asked"])
 oracle("route_query_default", f"select doc_id, {has('lower(text)', R.ROUTING_KEYWORDS)} as to_agent from documents")
 oracle("flag_complex_query", f"""
@@ -350,6 +373,12 @@ oracle("match_rules", f"select doc_id, unnest({tag('lower(text)', D.TOPICS)}) as
 
 # -- conversations ---------------------------------------------------------
 
+oracle("clean_history", """
+    select conv_id, turn, role, text as content from conversations
+    where role is not null and length(text) % 5 > 0""")
+oracle("drop_loading", "select conv_id, turn from conversations where length(text) % 7 <> 0")
+oracle("format_history", "select * from m where role in ('user', 'assistant')", ["m"])
+
 oracle("last_n_messages", """
     select conv_id, turn, role, content from m where role in ('user', 'assistant') and content is not null
     qualify row_number() over (partition by conv_id order by turn desc) <= 3""", ["m"])
@@ -388,6 +417,10 @@ oracle("other_companies", f"""
         select *, {both('o', 'd')} as p from (
             select doc_id, {without(strings(D.RULES.peers), '[source]')} as o,
                 case when lang = 'en' then ['src' || doc_id % 7, 'OU'] else [source] end as d from documents))""")
+oracle("union_suggestions", f"""
+    select doc_id, {line(unique('l'))} as texts from (
+        select doc_id, list_filter(list_concat({word_tag('lower(text)', D.WORDS[:4])}, ['from', case when lang = 'en' then 'with' end],
+            {word_tag('lower(text)', D.WORDS[2:])}), lambda x: x is not null) as l from documents)""")
 part("candidates", rf"""
     select conv_id + next as conv_id, conv_id as from_conv, turn, (pos - 1)::int as pos, text
     from (select conv_id, turn, unnest(s) as text, generate_subscripts(s, 1) as pos from (
@@ -498,10 +531,28 @@ part("agent_2", f"""
         case when len(companies) = 1 then 'How does AAPL''s approach to ' || coalesce({both('topics', 'hist')}[1], topics[1],
             'business strategy') || ' compare to MSFT?' end], lambda x: x is not null) as s
     from agent_1""", ["agent_1"])
-oracle("suggest_agent_followups", f"""
-    select query_id, {line(f'''list_concat(s, case when len(s) < 2 then {without(
+part("agent_3", f"""
+    select query_id, list_concat(s, case when len(s) < 2 then {without(
         "[" + ", ".join("replace(" + lit(g) + ", '{company}', ref)" for g in R.AGENT_GENERAL) + "]", "s")}[1:2 - len(s)]
-        else cast([] as varchar[]) end)[1:3]''')} as suggested_queries from agent_2""", ["agent_2"])
+        else cast([] as varchar[]) end)[1:3] as s from agent_2""", ["agent_2"])
+oracle("suggest_agent_followups", f"select query_id, {line('s')} as suggested_queries from agent_3", ["agent_3"])
+part("agent_cited", citations("retrieved", "rank"), ["retrieved"])
+_named = tag("text", {s: [s] for s in R.ANSWER_SECTIONS})
+part("agent_fallback", f"""
+    select doc_id as query_id, array_to_string(list_concat(
+        list_transform(companies, lambda c: c || '/' || c || '/{R.FALLBACK_FILING}/{R.FALLBACK_SECTION}'),
+        flatten(list_transform(companies, lambda c: list_transform(named,
+            lambda n: c || '/' || c || '/{R.FALLBACK_FILING}/' || n)))), '|') as citations
+    from (select *, {_named} as named,
+            case doc_id % 3 when 0 then cast([] as varchar[]) when 1 then ['AAPL'] else ['AAPL', 'MSFT'] end as companies
+          from documents where doc_id not in (select query_id from steps))""", ["steps"])
+oracle("ask_agent", f"""
+    select d.doc_id as query_id, d.text as answer, coalesce(c.citations, f.citations, '') as citations,
+        {line('s')} as suggested_queries
+    from documents d join agent_3 a on a.query_id = d.doc_id left join (
+        select query_id, string_agg(company || '/' || ticker || '/' || filing || '/' || section, '|' order by ord) as citations
+        from agent_cited group by 1) c on c.query_id = d.doc_id
+    left join agent_fallback f on f.query_id = d.doc_id""", ["agent_3", "agent_cited", "agent_fallback"])
 
 
 def agent_prompt(query: str, companies: str, hints) -> str:
@@ -549,10 +600,13 @@ part("lastq_context", f"""
     select query_id, string_agg('Source: ' || filing_type || ' (' || ticker || ', Unknown), Section: ' || section
         || chr(10) || 'Content: ' || content, {lit(R.CONTEXT_SEPARATOR)} order by rank) as context
     from lastq_hits join chunks using (chunk_id) group by 1""", ["lastq_hits", "chunks"])
+_to_agent = f"(len(companies) > 1 or {has('lower(query)', R.ROUTING_KEYWORDS)})"
 oracle("ask_prompts", f"""
-    select query_id, {rag_prompt('query', f"coalesce(context, {lit(R.NO_CONTEXT)})", 'lines')} as prompt
-    from last_q left join lastq_context using (query_id) left join lines using (conv_id)
-    where len(companies) <= 1 and not {has('lower(query)', R.ROUTING_KEYWORDS)}""", ["last_q", "lastq_context", "lines"])
+    select query_id, 'rag' as route, {rag_prompt('query', f"coalesce(context, {lit(R.NO_CONTEXT)})", 'lines')} as prompt
+    from last_q left join lastq_context using (query_id) left join lines using (conv_id) where not {_to_agent}
+    union all
+    select query_id, 'agent', {agent_prompt('query', 'companies', R.AGENT_HINTS)} from last_q where {_to_agent}""",
+       ["last_q", "lastq_context", "lines"])
 
 # -- facts and texts -------------------------------------------------------
 

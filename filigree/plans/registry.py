@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from filigree.operators import suggestions as U
 from filigree.operators import terms as W
 from filigree.operators import textops as O
 from filigree.plans import standins as D
+from filigree.plans.ask import agent_responses, history_lines
 from filigree.plans.ask import ask as ask_flow
 from filigree.session import materialize, scratch_path
 from filigree.sources import collection as L
@@ -140,6 +142,34 @@ def ingest_stream(spark, sf):
     return _stored(spark, path)
 
 
+@query
+def read_document(spark, sf):
+    """Texts as bytes of another encoding, so that accented letters are not UTF-8."""
+    data = F.encode("text", "ISO-8859-1")
+    return D.table(spark, sf, "documents").select("doc_id", X.valid_utf8(data).alias("text"))
+
+
+@query
+def valid_accession(spark, sf):
+    orders = D.table(spark, sf, "orders").select("o_orderkey", D.accession().alias("accession"))
+    return orders.select("o_orderkey", E.valid_accession(F.col("accession")).alias("valid"))
+
+
+@query
+def filter_companies(spark, sf):
+    return Q.filter_companies(D.chunks(spark, sf), ["src3", "src5"]).select("chunk_id", "ticker")
+
+
+@query
+def embed(spark, sf):
+    @F.pandas_udf("array<float>")
+    def lengths(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(n), float(e)] for n, e in zip(texts.str.len(), texts.str.count("e"))])
+
+    vectors = Q.embed(D.chunks(spark, sf), lengths)
+    return vectors.select("chunk_id", *[F.col("embedding")[i].cast("int").alias(n) for i, n in enumerate(("n_chars", "n_e"))])
+
+
 # -- scalar and text -------------------------------------------------------
 
 
@@ -311,6 +341,21 @@ def fallback_citations(spark, sf):
 # -- routing and tags ------------------------------------------------------
 
 
+@query
+def valid_query(spark, sf):
+    answered = F.when(F.col("turn") % 3 == 0, F.col("content")).when(F.col("turn") % 3 == 1, F.lit(" \n\t"))
+    return Q.valid_query(D.messages(spark, sf).withColumn("query", answered)).select("conv_id", "turn", "query")
+
+
+@query
+def normalize_companies(spark, sf):
+    rows = D.table(spark, sf, "documents").select("doc_id", "source", F.array("source", "lang").alias("listed"), "n_chars")
+    kinds = dict(rows.dtypes)
+    return rows.select("doc_id", *[
+        line(Q.normalize_companies(F.col(c), kinds[c])).alias(c) for c in ("source", "listed", "n_chars")
+    ])
+
+
 @query
 def route_query(spark, sf):
     return G.route_query(D.questions(spark, sf), D.ROUTING).select("query_id", "to_agent")
@@ -365,6 +410,29 @@ def match_rules(spark, sf):
 # -- conversations ---------------------------------------------------------
 
 
+def _raw_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of which some lack a content or are still pending."""
+    content = F.when(F.length("text") % 5 > 0, F.col("text"))
+    return D.table(spark, sf, "conversations").select(
+        "conv_id", "turn", "role", content.alias("text"), (F.length("text") % 7 == 0).alias("is_loading")
+    )
+
+
+@query
+def clean_history(spark, sf):
+    return V.clean_history(V.normalize_history(_raw_messages(spark, sf), "text"))
+
+
+@query
+def drop_loading(spark, sf):
+    return V.drop_loading(_raw_messages(spark, sf)).select("conv_id", "turn")
+
+
+@query
+def format_history(spark, sf):
+    return V.format_history(D.messages(spark, sf))
+
+
 @query
 def last_n_messages(spark, sf):
     recent = V.last_n_messages(V.format_history(V.clean_history(D.messages(spark, sf))), 3)
@@ -405,6 +473,13 @@ def other_companies(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", line(others).alias("others"))
 
 
+@query
+def union_suggestions(spark, sf):
+    low = F.lower("text")
+    lists = [word_tags(low, D.WORDS[:4]), F.array(F.lit("from"), F.when(F.col("lang") == "en", F.lit("with"))), word_tags(low, D.WORDS[2:])]
+    return D.table(spark, sf, "documents").select("doc_id", line(S.union_suggestions(*lists)).alias("texts"))
+
+
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of user messages, offered to their own conversation and to the next one."""
     users = D.messages(spark, sf).filter("role = 'user'")
@@ -443,14 +518,17 @@ def suggest_followups(spark, sf):
     return _suggestions(spark, sf).select("query_id", line("suggested_queries").alias("suggested_queries"))
 
 
-@query
-def suggest_agent_followups(spark, sf):
+def _agent_requests(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("query_id") % 3
     companies = F.when(kind == 1, F.array(F.lit("AAPL"))).when(kind == 2, F.array(F.lit("AAPL"), F.lit("MSFT")))
-    requests = D.table(spark, sf, "documents").select(
+    return D.table(spark, sf, "documents").select(
         F.col("doc_id").alias("query_id"), F.col("doc_id").alias("conv_id"), F.col("text").alias("answer")
     ).withColumn("companies", companies)
-    found = U.suggest_agent_followups(requests, _steps(spark, sf), D.messages(spark, sf), D.AGENT)
+
+
+@query
+def suggest_agent_followups(spark, sf):
+    found = U.suggest_agent_followups(_agent_requests(spark, sf), _steps(spark, sf), D.messages(spark, sf), D.AGENT)
     return found.select("query_id", line("suggested_queries").alias("suggested_queries"))
 
 
@@ -468,11 +546,7 @@ def build_agent_prompt_default(spark, sf):
 @query
 def build_rag_prompt(spark, sf):
     requests, before = D.last_questions(spark, sf)
-    recent = V.last_n_messages(V.format_history(before)).groupBy("conv_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))),
-                    lambda m: F.concat(m["role"], F.lit(": "), m["content"])).alias("lines")
-    )
-    joined = requests.join(recent, "conv_id", "left")
+    joined = requests.join(history_lines(V.format_history(before)), "conv_id", "left")
     return joined.select("query_id", P.rag_prompt(F.col("query"), F.col("answer"), F.col("lines")).alias("prompt"))
 
 
@@ -488,14 +562,17 @@ def build_summary_prompt(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", P.summary_prompt(F.col("text")).alias("prompt"))
 
 
+def _responses(rows: DataFrame) -> DataFrame:
+    sources = F.transform("citations", lambda c: F.concat_ws("/", c["company"], c["ticker"], c["filing"], c["section"]))
+    return rows.select("query_id", "answer", line(sources).alias("citations"), line("suggested_queries").alias("suggested_queries"))
+
+
 @query
 def ask(spark, sf):
-    """Questions to responses: retrieve, cite, suggest, assemble."""
+    """Questions to responses with the agent off: retrieve, cite, suggest, assemble."""
     requests, before = D.last_questions(spark, sf)
-    asked = ask_flow(Q.term_index(D.chunks(spark, sf)), requests.drop("answer"), before)
-    rows = asked.responses(requests.select("query_id", "answer"), D.RULES)
-    sources = F.transform("citations", lambda c: F.concat_ws("/", c["company"], c["ticker"], c["filing"], c["section"]))
-    return rows.select("query_id", "answer", line(sources).alias("citations"), line("suggested_queries").alias("suggested_queries"))
+    asked = ask_flow(Q.term_index(D.chunks(spark, sf)), requests.drop("answer"), before, agent=False)
+    return _responses(asked.responses(requests.select("query_id", "answer"), D.RULES))
 
 
 @query
@@ -504,6 +581,13 @@ def ask_prompts(spark, sf):
     return ask_flow(Q.term_index(D.chunks(spark, sf)), requests, before).prompts
 
 
+@query
+def ask_agent(spark, sf):
+    """Documents as answers; those with an embedding have tool steps."""
+    requests = _agent_requests(spark, sf)
+    return _responses(agent_responses(requests, _steps(spark, sf), requests, D.messages(spark, sf), D.AGENT))
+
+
 # -- facts and texts -------------------------------------------------------
 
 
