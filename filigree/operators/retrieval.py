@@ -84,29 +84,27 @@ def term_index(chunks: DataFrame) -> TermIndex:
 
 
 def _weighted(requests: DataFrame, words: tf.Vocabulary) -> DataFrame:
-    """(query_id, terms, weights): tf * idf * idf over the length of the tf-idf vector.
+    """(query_id, companies, terms, weights): tf * idf * idf over the length of the tf-idf vector.
 
     One idf is the request's own, the other belongs to the chunk side of the product, which
     therefore needs only its counts and its length.
     """
-    counted = tf.counted_terms(requests, ["query_id"], "query")
-    rows = tf.with_idf(counted, ["query_id"], words)
+    keys = ["query_id", "companies"]
+    rows = tf.with_idf(tf.counted_terms(requests, keys, "query"), keys, words)
     own = F.col("tf") * F.col("idf")
-    grouped = rows.groupBy("query_id").agg(
+    grouped = rows.groupBy(*keys).agg(
         F.collect_list(F.struct("term", (own * F.col("idf")).alias("w"))).alias("pairs"),
         F.sqrt(F.sum(own * own)).alias("norm"),
     )
     return grouped.select(
-        "query_id", F.col("pairs.term").alias("terms"),
+        *keys, F.col("pairs.term").alias("terms"),
         F.transform("pairs", lambda p: p["w"] / F.col("norm")).alias("weights"),
     )
 
 
 def lexical_search(index: TermIndex, requests: DataFrame, k: int = 3) -> DataFrame:
     """The k chunks with the highest tf-idf cosine per request; chunks without a shared term are no hits."""
-    asked = valid_query(requests)
-    weighted = asked.select("query_id", "companies").join(_weighted(asked, index.words), "query_id")
-    found, bounded = top_k(index.terms, weighted, TermScorer, k)
+    found, bounded = top_k(index.terms, _weighted(valid_query(requests), index.words), TermScorer, k)
     return _with_payload(found, bounded, index.chunks)
 
 

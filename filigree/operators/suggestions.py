@@ -15,7 +15,6 @@ from filigree.functions.matching import literal_array, tags, word_tags
 from filigree.functions.sets import (
     missing_sections, options_for, other_companies, pick, priority_topics, union_suggestions,
 )
-from filigree.operators.context import collect_metadata
 from filigree.operators.conversation import history_profile, last_n_messages, user_topics
 from filigree.operators.routing import tag_query_patterns
 
@@ -63,12 +62,23 @@ def drop_asked_comparisons(
     return candidates.join(asked, (F.col("conv_id") == F.col("_c")) & hit, "left_anti")
 
 
-def _content(hits: DataFrame) -> DataFrame:
-    """(query_id, content): contents of the at most k hits in rank order."""
-    return hits.groupBy("query_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda h: h["content"]), " "
-        ).alias("_content")
+def _from_hits(hits: DataFrame) -> DataFrame:
+    """(query_id, _content, sections, entities) of the at most k hits of a request, by rank.
+
+    One grouping of the hits; everything else is taken from the small array it leaves.
+    """
+    meta = F.col("metadata")
+    kept = F.struct("rank", "content", meta["section"].alias("section"), meta["company"].alias("company"), meta["ticker"].alias("ticker"))
+    rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(kept)).alias("_h"))
+
+    def distinct(values: Column) -> Column:
+        return F.array_distinct(F.filter(values, lambda v: v != ""))
+
+    return rows.select(
+        "query_id",
+        F.array_join("_h.content", " ").alias("_content"),
+        distinct(F.col("_h.section")).alias("sections"),
+        distinct(F.flatten(F.transform("_h", lambda h: F.array(h["company"], h["ticker"])))).alias("entities"),
     )
 
 
@@ -88,8 +98,7 @@ def suggest_followups(
     """
     empty = F.expr(EMPTY)
     facts = (
-        requests.join(_content(hits), "query_id", "left")
-        .join(collect_metadata(hits), "query_id", "left")
+        requests.join(_from_hits(hits), "query_id", "left")
         .join(
             history_profile(messages, rules, window).select(
                 "conv_id", F.col("topics").alias("hist"), F.col("companies").alias("discussed"),

@@ -32,6 +32,8 @@ BLOCK_ROWS = 65536
 # Cells of one score block: bounds the memory of a task whatever the batch size is.
 BLOCK_CELLS = 4 << 20
 DENSE_TERMS = 512
+# Up to this k, repeated maxima are faster than a sort of the block.
+FEW = 16
 PLACES = 6
 
 
@@ -136,13 +138,19 @@ class Best:
         order = np.argsort(ids, kind="stable")
         scores = np.round(scores[:, order], PLACES)
         ids = ids[order]
-        lines = np.arange(len(scores))
-        for _ in range(min(self.k, len(ids))):
+        if self.k <= FEW:
             # argmax takes the first of equal scores: the smallest id.
-            at = scores.argmax(axis=1)
-            self.scores = np.column_stack([self.scores, scores[lines, at]])
-            self.ids = np.column_stack([self.ids, ids[at]])
-            scores[lines, at] = -np.inf
+            lines, best = np.arange(len(scores)), []
+            for _ in range(min(self.k, len(ids))):
+                at = scores.argmax(axis=1)
+                best.append((scores[lines, at], ids[at]))
+                scores[lines, at] = -np.inf
+            chosen, names = (np.column_stack(part) for part in zip(*best))
+        else:
+            at = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
+            chosen, names = np.take_along_axis(scores, at, axis=1), ids[at]
+        self.scores = np.hstack([self.scores, chosen])
+        self.ids = np.hstack([self.ids, names])
         if self.scores.shape[1] > 16 * self.k:
             self.cut()
 

@@ -51,11 +51,13 @@ def history_lines(messages: DataFrame) -> DataFrame:
 def ask(index: TermIndex, requests: DataFrame, messages: DataFrame, k: int = 3, agent: bool = True) -> Asked:
     """Route, retrieve once, then derive contexts, citations and prompts from the stored hits.
 
+    Routed requests and hits are stored, since every later branch reads them.
+
     Requests of the agent route only get a prompt here; what its tools return comes in through
     `agent_responses`. Without the agent every request takes the retrieval route.
     """
     history = format_history(clean_history(messages))
-    routed = route_query(requests, agent=agent)
+    routed = materialize(route_query(requests, agent=agent), "requests")
     direct = routed.filter(~F.col("to_agent")).drop("to_agent")
     hits = materialize(lexical_search(index, direct, k), "hits")
     rag = (

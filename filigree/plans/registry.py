@@ -585,7 +585,8 @@ def ask_prompts(spark, sf):
 def ask_agent(spark, sf):
     """Documents as answers; those with an embedding have tool steps."""
     requests = _agent_requests(spark, sf)
-    return _responses(agent_responses(requests, _steps(spark, sf), requests, D.messages(spark, sf), D.AGENT))
+    steps = materialize(_steps(spark, sf), "steps")
+    return _responses(agent_responses(requests, steps, requests, D.messages(spark, sf), D.AGENT))
 
 
 # -- facts and texts -------------------------------------------------------

@@ -45,18 +45,19 @@ def vectors():
     return [*rows, (99, "T1", [0.0] * 4)]
 
 
-def test_knn(spark, way):
+@pytest.mark.parametrize("k", [4, 20])
+def test_knn(spark, way, k):
     corpus = vectors()
     requests = [(i, [None, [], ["T0"], ["T1", "T2"], ["none"]][i % 5], corpus[i][2]) for i in range(11)]
     v = spark.createDataFrame(corpus, "chunk_id long, ticker string, embedding array<float>").repartition(5)
     v = v.unionByName(spark.createDataFrame([(500, "T0", None)], v.schema))
     r = spark.createDataFrame(requests, "query_id long, companies array<string>, embedding array<float>")
-    rows = Q.knn_search(v, r, 4).orderBy("query_id", "rank").collect()
+    rows = Q.knn_search(v, r, k).orderBy("query_id", "rank").collect()
     got = {}
     for row in rows:
         got.setdefault(row.query_id, []).append(row.chunk_id)
         assert row.rank == len(got[row.query_id])
-    assert got == {q: ids for q, ids in brute_vectors(corpus, requests, 4).items() if ids}
+    assert got == {q: ids for q, ids in brute_vectors(corpus, requests, k).items() if ids}
 
 
 def brute_terms(chunks, requests, k):
