@@ -75,7 +75,7 @@ def pick_primary_document(spark, sf):
         .otherwise(F.concat(F.lit("exhibit"), number, F.lit(".pdf")))
     )
     folder = F.concat(F.lit("/sec-edgar-filings/T/10-K/"), F.col("l_orderkey").cast("string"), F.lit("/"))
-    files = D.table(spark, sf, "lineitem").select(F.concat(folder, name).alias("path"))
+    files = D.spread_table(spark, sf, "lineitem").select(F.concat(folder, name).alias("path"))
     return E.pick_primary_document(E.parse_paths(files)).select("accession_number", "file_name")
 
 
@@ -181,7 +181,7 @@ def filing_url(spark, sf):
 
 @query
 def html_to_text(spark, sf):
-    return D.table(spark, sf, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return D.spread_table(spark, sf, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
 @query
@@ -211,7 +211,7 @@ def chunk_counts(spark, sf):
 
 @query
 def process_filing(spark, sf):
-    pages = D.table(spark, sf, "pages").select(
+    pages = D.spread_table(spark, sf, "pages").select(
         F.regexp_extract("url", r"//([^.]+)\.", 1).alias("ticker"), F.lit("10-K").alias("filing_type"),
         F.col("page_id").cast("string").alias("accession_number"), F.lit("").alias("company"),
         F.lit("").alias("filing_date"), X.html_to_text(F.col("html")).alias("text"),
@@ -237,7 +237,7 @@ def extract_years(spark, sf):
     content = F.concat(F.lit("in "), date, F.lit(", after "), (F.year("o_orderdate") - 3).cast("string"),
                        F.lit(" and not in 123"), F.col("o_orderkey").cast("string"), F.lit(" or 1899"))
     stored = F.when(F.col("o_orderstatus") == "O", F.lit("Unknown")).otherwise(date)
-    return D.table(spark, sf, "orders").select(
+    return D.spread_table(spark, sf, "orders").select(
         "o_orderkey", X.year_of_date(stored).alias("filing_year"),
         line(F.transform(X.years_in_text(content), lambda y: y.cast("string"))).alias("years"),
     )

@@ -47,8 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly row work: small ones sit in one row group."""
+    return spread(table(spark, sf_dir, name))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return spread_table(spark, sf_dir, "documents")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +151,7 @@ def accession() -> Column:
 
 def filing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as files of a filing tree."""
-    return table(spark, sf_dir, "orders").select(F.concat(
+    return spread_table(spark, sf_dir, "orders").select(F.concat(
         F.lit("file:/data/sec-edgar-filings/C"), F.col("o_custkey").cast("string"), F.lit("/10-K/"),
         accession(), F.lit("/primary.htm"),
     ).alias("path"))

@@ -13,7 +13,7 @@ from filigree.functions.text import valid_utf8
 from filigree.rules import FILINGS_PER_TYPE
 from filigree.session import materialize
 
-TREE = "sec-edgar-filings"
+TREE = r"/sec-edgar-filings/[^/]+/[^/]+/[^/]+/[^/]+$"
 ACCESSION = r"^\d{10}-\d{2}-\d{6}"
 FILING_KEY = ["ticker", "filing_type", "accession_number"]
 # Upper bound of a list of paths pushed into a scan.
@@ -22,11 +22,9 @@ MAX_LISTED_PATHS = 20_000
 
 def parse_paths(files: DataFrame) -> DataFrame:
     """Key columns and file name of every path of the tree; other paths give no row."""
-    parts = F.col("_parts")
     names = ["ticker", "filing_type", "accession_number", "file_name"]
-    split = files.filter(F.contains("path", F.lit(f"/{TREE}/"))).select("path", F.split("path", "/").alias("_parts"))
-    inside = split.filter((F.get(parts, F.size(parts) - 5) == TREE) & ~F.array_contains(F.slice(parts, -4, 4), ""))
-    return inside.select("path", *[F.element_at(parts, i - 4).alias(name) for i, name in enumerate(names)])
+    split = files.filter(F.col("path").rlike(TREE)).select("path", F.split("path", "/").alias("_parts"))
+    return split.select("path", *[F.element_at("_parts", i - 4).alias(name) for i, name in enumerate(names)])
 
 
 def filing_files(spark: SparkSession, root: str) -> DataFrame:
@@ -75,12 +73,14 @@ def company_filings(
 
 def pick_primary_document(files: DataFrame) -> DataFrame:
     """One document per filing: the first .htm/.html by name, else full-submission.txt, else no row."""
-    name = F.lower("file_name")
-    priority = F.when(name.endswith(".htm") | name.endswith(".html"), 0).when(
-        F.col("file_name") == "full-submission.txt", 1
+    # Tested on the path itself, so that the filter does not split it once more.
+    low = F.lower("path")
+    priority = F.when(low.endswith(".htm") | low.endswith(".html"), 0).when(
+        F.endswith("path", F.lit("/full-submission.txt")), 1
     )
     ranked = files.withColumn("_p", priority).filter(F.col("_p").isNotNull())
-    best = ranked.groupBy(*FILING_KEY).agg(F.min(F.struct("_p", "path")).alias("best"))
+    # A struct of strings is aggregated by sorting: the most selective key comes first.
+    best = ranked.groupBy(*reversed(FILING_KEY)).agg(F.min(F.struct("_p", "path")).alias("best"))
     path = F.col("best.path")
     return best.select(*FILING_KEY, F.element_at(F.split(path, "/"), -1).alias("file_name"), path.alias("path"))
 
