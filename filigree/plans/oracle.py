@@ -278,7 +278,7 @@ oracle("filing_labels", """
     select s_suppkey, n_name || ' (' || s_nationkey || ')' as filing, s_name || ' (' || n_name || ')' as label
     from supplier join nation on s_nationkey = n_nationkey""")
 oracle("extract_years", """
-    select o_orderkey, case when o_orderstatus <> 'O' then year(o_orderdate)::int end as filing_year,
+    select o_orderkey, case when o_orderstatus <> 'O' then year(o_orderdate)::varchar end as filing_year,
         (year(o_orderdate) - 3) || '|' || year(o_orderdate) as years from orders""")
 oracle("strip_selection_tag", rf"""
     select conv_id, turn, annotated, {strip('''replace(c, case conv_id % 3 when 0 then '(Companies selected: kept)'
@@ -289,10 +289,10 @@ oracle("strip_selection_tag", rf"""
 
 # -- retrieval -------------------------------------------------------------
 
-oracle("lexical_search", "select query_id, rank, score, chunk_id from free_hits", ["free_hits"])
-oracle("retrieve_sections", "select query_id, rank, score, chunk_id from five_hits", ["five_hits"])
-oracle("knn_search", "select query_id, rank, score, chunk_id from near where rank <= 3", ["near"])
-oracle("knn_filtered", "select query_id, rank, score, chunk_id, ticker from near_own where rank <= 3", ["near_own"])
+oracle("lexical_search", "select query_id, rank::int as rank, score, chunk_id from free_hits", ["free_hits"])
+oracle("retrieve_sections", "select query_id, rank::int as rank, score, chunk_id from five_hits", ["five_hits"])
+oracle("knn_search", "select query_id, rank::int as rank, score, chunk_id from near where rank <= 3", ["near"])
+oracle("knn_filtered", "select query_id, rank::int as rank, score, chunk_id, ticker from near_own where rank <= 3", ["near_own"])
 
 # -- context and citations -------------------------------------------------
 
@@ -613,7 +613,7 @@ oracle("ask_prompts", f"""
 oracle("pivot_facts", """
     select ticker, data_point, string_agg(year || '=' || value, '|' order by year) as series from facts
     where data_point in ('1-URGENT', '2-HIGH', '5-LOW') and year between 1995 and 1998 group by all""", ["facts"])
-oracle("yoy_trend", "select data_point, year::int as year, previous_year::int as previous_year, pct_change, is_latest from trends", ["trends"])
+oracle("yoy_trend", "select data_point, year::int as year, previous_year::varchar as previous_year, pct_change, is_latest from trends", ["trends"])
 oracle("trend_text", """
     select ticker, data_point, 'Placeholder: ' || data_point || ' changed by ' || printf('%.2f', pct_change) || '% between '
         || previous_year || ' and ' || year || '.' as message

@@ -238,7 +238,7 @@ def extract_years(spark, sf):
                        F.lit(" and not in 123"), F.col("o_orderkey").cast("string"), F.lit(" or 1899"))
     stored = F.when(F.col("o_orderstatus") == "O", F.lit("Unknown")).otherwise(date)
     return D.spread_table(spark, sf, "orders").select(
-        "o_orderkey", X.year_of_date(stored).alias("filing_year"),
+        "o_orderkey", X.year_of_date(stored).cast("string").alias("filing_year"),
         line(F.transform(X.years_in_text(content), lambda y: y.cast("string"))).alias("years"),
     )
 
@@ -601,7 +601,8 @@ def pivot_facts(spark, sf):
 
 @query
 def yoy_trend(spark, sf):
-    return N.yoy_trend(D.facts(spark, sf)).select("data_point", "year", "previous_year", "pct_change", "is_latest")
+    before = F.col("previous_year").cast("string").alias("previous_year")
+    return N.yoy_trend(D.facts(spark, sf)).select("data_point", "year", before, "pct_change", "is_latest")
 
 
 @query
