@@ -274,9 +274,19 @@ oracle("process_filing", r"""
     from (select *, regexp_extract(url, '//([^.]+)\.', 1) as t,
             unnest(range(0, greatest(length(text) - 101, 0) // 900 + 1)) as i
           from page_text where length(text) > 0)""", ["page_text"])
-oracle("filing_labels", """
-    select s_suppkey, n_name || ' (' || s_nationkey || ')' as filing, s_name || ' (' || n_name || ')' as label
-    from supplier join nation on s_nationkey = n_nationkey""")
+oracle("filing_label", """
+    select o_orderkey, o_orderpriority || ' (' || case when o_orderstatus = 'P' then 'N/A'
+        else strftime(o_orderdate, '%Y-%m-%d') end || ')' as filing from orders""")
+oracle("company_label", "select s_suppkey, s_name || ' (' || s_suppkey || ')' as label from supplier")
+oracle("chunk_metadata", """
+    select ticker as company, ticker, filing_type, 'Unknown' as date, doc_id::varchar as accession_number, section,
+        chunk_index::int as chunk_index from chunks""", ["chunks"])
+oracle("format_context_block", """
+    select chunk_id, 'Source: ' || filing_type || ' (' || ticker || ', Unknown), Section: ' || section || chr(10)
+        || 'Content: ' || content as block from chunks""", ["chunks"])
+oracle("annotate_user_message", """
+    select conv_id, turn, content || case conv_id % 3 when 0 then '' when 1 then ' (Companies selected: src1)'
+        else ' (Companies selected: src1, src2)' end as content from m""", ["m"])
 oracle("extract_years", """
     select o_orderkey, case when o_orderstatus <> 'O' then year(o_orderdate)::varchar end as filing_year,
         (year(o_orderdate) - 3) || '|' || year(o_orderdate) as years from orders""")
@@ -316,6 +326,18 @@ def citations(hits: str, order: str) -> str:
 
 part("cited", citations("near_own", "rank"), ["near_own"])
 oracle("dedupe_citations", "select * from cited", ["cited"])
+part("near_5", "select * from near where rank <= 5", ["near"])
+part("near_3", "select * from near where rank <= 3", ["near"])
+part("near_3_cited", citations("near_3", "rank"), ["near_3"])
+part("near_5_cited", citations("near_5", "rank"), ["near_5"])
+oracle("citation_ordinal", "select query_id, ord, section from near_5_cited", ["near_5_cited"])
+oracle("build_responses", f"""
+    select doc_id as query_id, case when c.citations is null then {lit(R.NO_HITS_ANSWER)} else text end as answer,
+        coalesce(c.citations, '') as citations,
+        case when c.citations is not null and lang = 'en' then 'en' else '' end as suggested_queries
+    from documents left join (
+        select query_id, string_agg(company || '/' || ticker || '/' || filing || '/' || section, '|' order by ord) as citations
+        from near_3_cited group by 1) c on c.query_id = doc_id""", ["near_3_cited"])
 oracle("source_counts", "select query_id, count(*) as n_sources from cited group by 1", ["cited"])
 oracle("collect_metadata", """
     select query_id, coalesce((
@@ -376,6 +398,8 @@ oracle("match_rules", f"select doc_id, unnest({tag('lower(text)', D.TOPICS)}) as
 oracle("clean_history", """
     select conv_id, turn, role, text as content from conversations
     where role is not null and length(text) % 5 > 0""")
+oracle("normalize_history", """
+    select conv_id, turn, role, case when length(text) % 5 > 0 then text end as content from conversations""")
 oracle("drop_loading", "select conv_id, turn from conversations where length(text) % 7 <> 0")
 oracle("format_history", "select * from m where role in ('user', 'assistant')", ["m"])
 

@@ -49,6 +49,11 @@ def line(array: Column | str) -> Column:
     return F.coalesce(F.array_join(array, "|"), F.lit(""))
 
 
+def _responses(rows: DataFrame) -> DataFrame:
+    sources = F.transform("citations", lambda c: F.concat_ws("/", c["company"], c["ticker"], c["filing"], c["section"]))
+    return rows.select("query_id", "answer", line(sources).alias("citations"), line("suggested_queries").alias("suggested_queries"))
+
+
 # -- sources ---------------------------------------------------------------
 
 
@@ -221,16 +226,33 @@ def process_filing(spark, sf):
 
 
 @query
-def filing_labels(spark, sf):
-    named = D.table(spark, sf, "supplier").join(
-        D.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
-    return named.select(
-        "s_suppkey", X.filing_label(F.col("n_name"), F.col("s_nationkey").cast("string")).alias("filing"),
-        X.company_label(F.col("s_name"), F.col("n_name")).alias("label"),
+def filing_label(spark, sf):
+    date = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return D.table(spark, sf, "orders").select("o_orderkey", X.filing_label(F.col("o_orderpriority"), date).alias("filing"))
+
+
+@query
+def company_label(spark, sf):
+    return D.table(spark, sf, "supplier").select(
+        "s_suppkey", X.company_label(F.col("s_name"), F.col("s_suppkey").cast("string")).alias("label")
     )
 
 
+@query
+def chunk_metadata(spark, sf):
+    return D.chunks(spark, sf).select("metadata.*")
+
+
+@query
+def format_context_block(spark, sf):
+    return D.chunks(spark, sf).select("chunk_id", X.context_block(F.col("metadata"), F.col("content")).alias("block"))
+
+
+@query
+def annotate_user_message(spark, sf):
+    return V.annotate_user_message(D.messages(spark, sf).withColumn("companies", D.selection())).select("conv_id", "turn", "content")
+
+
 @query
 def extract_years(spark, sf):
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -295,6 +317,20 @@ def dedupe_citations(spark, sf):
     return K.dedupe_citations(_neighbours(spark, sf, 8, True))
 
 
+@query
+def citation_ordinal(spark, sf):
+    return K.dedupe_citations(_neighbours(spark, sf, 5)).select("query_id", "ord", "section")
+
+
+@query
+def build_responses(spark, sf):
+    """Documents as requests and answers; those without an embedding have no hit."""
+    requests = D.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"), "lang")
+    hits = materialize(_neighbours(spark, sf, 3), "hits")
+    suggestions = requests.filter("lang = 'en'").select("query_id", F.array("lang").alias("suggested_queries"))
+    return _responses(K.build_responses(requests, requests, hits, K.dedupe_citations(hits), suggestions))
+
+
 @query
 def source_counts(spark, sf):
     return K.source_counts(K.dedupe_citations(_neighbours(spark, sf, 8, True)))
@@ -423,6 +459,11 @@ def clean_history(spark, sf):
     return V.clean_history(V.normalize_history(_raw_messages(spark, sf), "text"))
 
 
+@query
+def normalize_history(spark, sf):
+    return V.normalize_history(_raw_messages(spark, sf), "text")
+
+
 @query
 def drop_loading(spark, sf):
     return V.drop_loading(_raw_messages(spark, sf)).select("conv_id", "turn")
@@ -562,11 +603,6 @@ def build_summary_prompt(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", P.summary_prompt(F.col("text")).alias("prompt"))
 
 
-def _responses(rows: DataFrame) -> DataFrame:
-    sources = F.transform("citations", lambda c: F.concat_ws("/", c["company"], c["ticker"], c["filing"], c["section"]))
-    return rows.select("query_id", "answer", line(sources).alias("citations"), line("suggested_queries").alias("suggested_queries"))
-
-
 @query
 def ask(spark, sf):
     """Questions to responses with the agent off: retrieve, cite, suggest, assemble."""
