@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from filigree.llm.text import id_and_text
 
-COPYRIGHT_LINE = r"\n[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A notice names a year, a sign or an owner; a wrapped sentence that begins with the word alone is none.
+COPYRIGHT_LINE = r"\n[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]|by |:)|\(c\)|©|all rights reserved)[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 
 # Equivalent spellings, and public licence texts and notices.

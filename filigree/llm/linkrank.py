@@ -83,8 +83,9 @@ def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     start = materialize(start, "seeds")
     ranks = start
     for number in range(ROUNDS if shares.take(1) else 0):
-        passed = ranks.join(shares, (shares.kind == ranks.kind) & (shares.giver == ranks.host)).select(
-            shares.kind, F.col("taker").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
+        givers = ranks.withColumnRenamed("host", "giver")
+        passed = givers.join(shares, ["kind", "giver"]).select(
+            "kind", F.col("taker").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
         ranks = start.union(passed).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if number % STORED_EVERY == STORED_EVERY - 1:
             ranks = materialize(ranks, "host-ranks")

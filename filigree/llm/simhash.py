@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from filigree.llm.components import connected_components
 from filigree.llm.text import arrow_map, id_and_text, lower_ascii, shingle_hashes, utf8
@@ -193,45 +194,60 @@ def _link_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(side) for side in sides], ["a", "b"])
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS
-) -> DataFrame:
-    """One row per document: id, fp, component_id (smallest id among all that links reach)."""
+def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> DataFrame:
+    """One row per document: id, fp, root (the fingerprint that stands for its component), component_id."""
     found = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = materialize(found.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     members = connected_components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = nodes.join(members, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = rooted.join(roots, "root").select("fp", "component_id")
-    return found.join(placed, "fp").select("id", "fp", "component_id")
+    placed = rooted.join(roots, "root").select("fp", "root", "component_id")
+    return found.join(placed, "fp").select("id", "fp", "root", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS
+) -> DataFrame:
+    """One row per document: id, fp, component_id (smallest id among all that links reach)."""
+    return near_groups(docs, id_col, text_col, words, radius).select("id", "fp", "component_id")
 
 
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS
 ) -> DataFrame:
-    """`docs` with the document of the smallest id of every component alone.
+    """`docs` with one document of every component: the one of the smallest id.
 
-    Rows that repeat that id become one. Rows with a null id stay only where their whole component has
-    none; one of them is kept.
+    Where several rows share that id, or it is null, the one with the smallest fingerprint stays; of rows equal in
+    both, any one.
     """
-    marked = materialize(near_duplicates(docs, id_col, text_col, words, radius), "near-duplicates")
-    best = marked.where(F.col("id").eqNullSafe(F.col("component_id")))
-    counted = best.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    marked = materialize(near_groups(docs, id_col, text_col, words, radius), "near-groups")
+    leaders = marked.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.first("id").alias("id"), F.min("fp").alias("fp"))
+    repeated = marked.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or id is null").select(F.col("id").alias("other"))
+    leaders = leaders.join(repeated, F.col("id").eqNullSafe(F.col("other")), "left")
+    leaders = leaders.withColumn("clear", F.col("other").isNull() & F.col("id").isNotNull()).select("id", "fp", "clear")
+    leaders = materialize(leaders, "leaders")
     row = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
     keyed = row.withColumn("key", F.col("row")[id_col])
-    joined = keyed.join(counted, F.col("key").eqNullSafe(F.col("id")))
-    single = joined.where("rows = 1").select("row")
-    if not counted.where("rows > 1").take(1):
-        return single.select("row.*")
-    doubled = joined.where("rows > 1").select("row")
-    return single.union(_one_of_each(doubled, id_col, text_col, words, radius)).select("row.*")
-
-
-def _one_of_each(rows: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> DataFrame:
-    """Of rows that share an id with others, the ones that lead a component; one row for each fingerprint's group."""
-    flat = rows.select(F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"), "row")
-    texts = flat.withColumn("digest", F.xxhash64("text", "id")).groupBy("id", "digest").agg(F.first("row").alias("row"))
-    packed = texts.select("digest", "row", F.col("row")[text_col].alias("text"))
-    marked = near_duplicates(packed, "digest", "text", words, radius)
-    keep = marked.where("id = component_id").select(F.col("id").alias("digest"))
-    return packed.join(keep, "digest", "left_semi").select("row")
+    clear = leaders.where("clear").select(F.col("id").alias("key"))
+    left = keyed.join(clear, "key", "left_semi").select("row")
+    shared = leaders.where("not clear").select(F.col("id").alias("leader"), F.col("fp").alias("leader_fp"))
+    if shared.take(1):
+        ids = shared.select("leader").distinct()
+        asked = keyed.join(ids, F.col("key").eqNullSafe(F.col("leader")), "left_semi").select("row", "key", F.col("row")[text_col].alias("text"))
+        printed = _with_prints(asked, words)
+        chosen = printed.join(shared, F.col("key").eqNullSafe(F.col("leader")) & (F.col("fp") == F.col("leader_fp")), "left_semi")
+        left = left.union(chosen.groupBy("key", "fp").agg(F.first("row").alias("row")).select("row"))
+    return left.select("row.*")
+
+
+def _with_prints(rows: DataFrame, words: int) -> DataFrame:
+    """Rows (row, key, text) with their fingerprint in place of the text."""
+    schema = rows.select("row", "key").schema.add("fp", LongType())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(text, words) for text in utf8(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["row", "key", "fp"])
+
+    return rows.mapInArrow(run, schema)
