@@ -1,8 +1,8 @@
 """Token ids in Arrow files of equal-length sequences with masks.
 
 Documents are dealt by range of their id and sorted, so the files in order hold all documents in
-ascending order. A file is an Arrow IPC file with two fixed-size-list columns: `ids` and `mask` (1 for
-a token, 0 for the filling of the last sequence). Any sequence is reached at its place in
+ascending order. A file is an Arrow IPC file with two fixed-size-list columns: `ids` and `mask` (a bit: true for
+a token, false for the filling of the last sequence). Any sequence is reached at its place in
 constant time, and a memory-mapped file is read without a copy. A second file beside it holds
 doc_id, start and n_tokens of the documents inside. The manifest, written by Spark, lists the files of
 successful tasks only, so a task that is run again leaves nothing that a reader would see.
@@ -93,7 +93,7 @@ class SequenceWriter:
 
     def __init__(self, fs: pafs.FileSystem, path: str, length: int, kind: pa.DataType):
         self.length, self.kind, self.total = length, kind, 0
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = fs.open_output_stream(path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[np.ndarray] = []
@@ -111,9 +111,8 @@ class SequenceWriter:
         n = sequences * self.length
         self.held = [ids[n:]]
         self.n_held = max(0, len(ids) - n)
-        mask = np.ones(n, np.uint8)
+        mask = np.arange(n) < len(ids)
         if len(ids) < n:
-            mask[len(ids):] = 0
             ids = np.concatenate((ids, np.zeros(n - len(ids), ids.dtype)))
         for at in range(0, n, self.length * BATCH):
             part = slice(at, min(n, at + self.length * BATCH))
@@ -139,14 +138,16 @@ class SequenceFile:
         self.file = pa.ipc.open_file(self.source)
         self.length = self.file.schema.field("ids").type.list_size
 
-    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of a record batch, each as (sequences, length)."""
+    def batch(self, i: int) -> tuple[pa.Array, pa.Array]:
+        """Ids and mask of a record batch, flat; both are views of the file."""
         batch = self.file.get_batch(i)
-        return tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in batch.columns)
+        return batch.column("ids").flatten(), batch.column("mask").flatten()
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence i."""
         ids, mask = self.batch(i // BATCH)
-        return ids[i % BATCH], mask[i % BATCH]
+        first = i % BATCH * self.length
+        return ids.slice(first, self.length).to_numpy(zero_copy_only=True), mask.slice(first, self.length)
 
     def slices(self, lengths: Iterable[int]) -> Iterator[bytes]:
         """The unmasked ids cut into runs of the given lengths, as unsigned 32-bit integers."""
@@ -157,7 +158,7 @@ class SequenceFile:
             while n < length:
                 ids, mask = self.batch(number)
                 number += 1
-                parts.append(ids[mask == 1])
+                parts.append(ids.to_numpy(zero_copy_only=True)[:mask.true_count])
                 n += len(parts[-1])
             joined = np.concatenate(parts) if len(parts) > 1 else held
             yield joined[:length].astype("<u4").tobytes()
