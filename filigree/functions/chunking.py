@@ -13,17 +13,27 @@ from pyspark.sql import functions as F
 from filigree.rules import CHUNK_OVERLAP, CHUNK_SIZE
 
 
-def stride_pattern(size: int, overlap: int, snap: bool) -> str:
-    """Pattern of one stride; with `snap` a stride ends after whitespace where it can."""
+SEPARATORS = [r"\n\n", r"\n", " "]
+
+
+def stride_pattern(size: int, overlap: int, snap: bool | str) -> str:
+    """Pattern of one stride.
+
+    With `snap` a stride ends after white space where it can. With `snap="recursive"` it ends after
+    the last blank line inside, else after the last line break, else after the last blank, else it is cut.
+    """
     stride = size - overlap
     if not 0 <= overlap <= stride:
         raise ValueError("overlap must not exceed half of the chunk size")
+    if snap == "recursive":
+        ends = "".join(rf"|.{{1,{stride - len(s.replace(chr(92), ''))}}}{s}" for s in SEPARATORS)
+        return rf"(?s).{{1,{stride}}}\z{ends}|.{{1,{stride}}}"
     if snap:
         return rf"(?s).{{1,{stride}}}\z|.{{1,{stride - 1}}}\s|.{{1,{stride}}}"
     return rf"(?s).{{1,{stride}}}"
 
 
-def strides(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, snap: bool = False) -> Column:
+def strides(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, snap: bool | str = False) -> Column:
     return F.regexp_extract_all(text, F.lit(stride_pattern(size, overlap, snap)), F.lit(0))
 
 
@@ -32,7 +42,7 @@ def chunk_rows(
     text: str = "text",
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
-    snap: bool = False,
+    snap: bool | str = False,
 ) -> DataFrame:
     """One row per chunk: the other columns, `chunk_index` from 0 and `content`.
 

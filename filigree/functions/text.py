@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 # Line breaks come from these tags; every other tag is dropped where it stands.
 BLOCK_TAGS = "p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|hr|pre|blockquote"
-ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-            ("&#39;", "'"), ("&#8217;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+# Named entities; the ampersand comes last, so that what it uncovers is not read as another one.
+ENTITIES = [
+    ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("ndash", "\u2013"), ("mdash", "\u2014"),
+    ("lsquo", "\u2018"), ("rsquo", "\u2019"), ("ldquo", "\u201c"), ("rdquo", "\u201d"), ("bull", "\u2022"),
+    ("hellip", "\u2026"), ("copy", "\u00a9"), ("reg", "\u00ae"), ("trade", "\u2122"), ("sect", "\u00a7"), ("para", "\u00b6"),
+    ("middot", "\u00b7"), ("deg", "\u00b0"), ("euro", "\u20ac"), ("pound", "\u00a3"), ("cent", "\u00a2"), ("frac12", "\u00bd"),
+    ("eacute", "\u00e9"), ("emsp", " "), ("ensp", " "), ("thinsp", " "), ("amp", "&"),
+]
+# White space of every script and the control characters that count as such.
+BLANK = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Blanks that stand for a plain one inside a line of a filing.
+WIDE_BLANKS = "\u00a0" + "".join(map(chr, range(0x2000, 0x200C))) + "\u202f\u3000"
 
 
 def or_default(value: Column, default: Column | str) -> Column:
@@ -19,7 +29,35 @@ def or_default(value: Column, default: Column | str) -> Column:
 
 def strip_space(value: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.regexp_replace(value, rf"^{BLANK}+|{BLANK}+$", "")
+
+
+def plain_blanks(text: Column) -> Column:
+    """Non-breaking and other wide blanks as plain ones."""
+    return F.translate(text, WIDE_BLANKS, " " * len(WIDE_BLANKS))
+
+
+def decode_entities(text: Column) -> Column:
+    """Numeric and the usual named entities as their characters; unknown ones and impossible numbers stay."""
+    def character(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^&#([xX]?[0-9a-fA-F]{1,7});", 1)
+        hexed = F.when(F.lower(digits).startswith("x"), F.substring(digits, 2, 7)).otherwise(F.conv(digits, 10, 16))
+        code = F.conv(hexed, 16, 10).cast("int")
+        possible = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        decoded = F.decode(F.unhex(F.lpad(F.when(possible, hexed), 8, "0")), "UTF-32")
+        rest = F.regexp_replace(piece, r"^&#[xX]?[0-9a-fA-F]{1,7};", "")
+        return F.when(possible, F.concat(F.when(code == 0xA0, F.lit(" ")).otherwise(decoded), rest)).otherwise(piece)
+
+    numeric = F.array_join(F.transform(F.split(text, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), character), "")
+    out = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
+    for name, char in ENTITIES:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
+def main_document(submission: Column) -> Column:
+    """Text of the first document of a full submission; the whole when it has no such part."""
+    return or_default(F.regexp_extract(submission, r"(?is)<DOCUMENT>.*?<TEXT>(.*?)</TEXT>", 1), submission)
 
 
 def filing_url(accession: Column, path: Column) -> Column:
@@ -48,8 +86,11 @@ def company_label(name: Column, ticker: Column) -> Column:
 
 
 def chunk_id(ticker: Column, filing_type: Column, accession: Column, section: Column, index: Column) -> Column:
-    """Unique over filings and sections of a ticker."""
-    parts = [F.coalesce(c.cast("string"), F.lit("NA")) for c in (ticker, filing_type, accession, section, index)]
+    """Unique over filings and sections of a ticker: an underscore inside a part is doubled."""
+    parts = [
+        F.replace(F.coalesce(c.cast("string"), F.lit("NA")), F.lit("_"), F.lit("__"))
+        for c in (ticker, filing_type, accession, section, index)
+    ]
     return F.concat_ws("_", *parts)
 
 
@@ -111,8 +152,7 @@ def html_to_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "")
     out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCK_TAGS})(?:\s[^>]*)?/?>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = decode_entities(out)
     out = F.regexp_replace(out, r"[ \t\r]+", " ")
     out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")
     return strip_space(out)
@@ -122,8 +162,8 @@ HEADING = r"(?im)^[ \t]*item[ \t]+(\d+[a-c]?)\b[^\n]*"
 
 
 def section_segments(text: Column) -> Column:
-    """The text cut in front of every item heading, in one pass for all items."""
-    return F.split(text, r"(?im)(?=^[ \t]*item[ \t]+\d+[a-c]?\b)")
+    """The text cut in front of every item heading, in one pass for all items. Wide blanks count as plain ones."""
+    return F.split(plain_blanks(text), r"(?im)(?=^[ \t]*item[ \t]+\d+[a-c]?\b)")
 
 
 def section_body(segments: Column, item: str) -> Column:

@@ -38,14 +38,9 @@ def embed(df: DataFrame, fn: Callable, text: str = "content") -> DataFrame:
     return df.withColumn("embedding", fn(F.col(text)).cast("array<float>"))
 
 
-def _with_payload(found: DataFrame, bounded: bool, chunks: DataFrame) -> DataFrame:
-    """Fetch the chunk columns of the hits.
-
-    With a bounded request table there are at most k hits per request, so the hits are
-    broadcast and the chunks are not shuffled.
-    """
-    hits = F.broadcast(found) if bounded else found
-    return chunks.join(hits, "chunk_id").select(
+def _with_payload(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Fetch the chunk columns of the hits; the ticker in the key prunes a collection's partitions."""
+    return chunks.join(found, ["ticker", "chunk_id"]).select(
         "query_id", "rank", "score", "chunk_id",
         *[c for c in chunks.columns if c not in ("chunk_id", "ticker", "embedding")],
     )
@@ -55,12 +50,11 @@ def knn_search(vectors: DataFrame, requests: DataFrame, k: int = 3) -> DataFrame
     """The k chunks nearest to each request by cosine, within the request's companies.
 
     `vectors`: chunk_id, ticker, embedding and any payload; `requests`: query_id, companies,
-    embedding.
+    embedding. A vector with a null or NaN element is no hit and has none; lengths must agree.
     """
     corpus = vectors.filter(F.col("embedding").isNotNull()).select("chunk_id", "ticker", "embedding")
     asked = requests.filter(F.col("embedding").isNotNull()).select("query_id", "companies", "embedding")
-    found, bounded = top_k(corpus, asked, VectorScorer, k)
-    return _with_payload(found, bounded, vectors)
+    return _with_payload(top_k(corpus, asked, VectorScorer, k), vectors)
 
 
 @dataclass(frozen=True)
@@ -75,12 +69,14 @@ class TermIndex:
 def term_index(chunks: DataFrame) -> TermIndex:
     """Index chunks (chunk_id, ticker, content, ...) for `lexical_search`.
 
-    The texts are tokenized once; the counted terms are stored and everything else reads them.
+    The texts are tokenized once. Counted terms, document frequencies and lengths are stored, so a search
+    only reads them.
     """
     counted = materialize(tf.counted_terms(chunks, ["chunk_id", "ticker"], "content"), "terms")
     words = tf.vocabulary(counted)
     sums = tf.idf_sums(counted, ["chunk_id", "ticker"], words)
-    return TermIndex(chunks, sums.select("chunk_id", "ticker", "terms", "counts", "norm"), words)
+    stored = materialize(sums.select("chunk_id", "ticker", "terms", "counts", "norm"), "term-index")
+    return TermIndex(chunks, stored, words)
 
 
 def _weighted(requests: DataFrame, words: tf.Vocabulary) -> DataFrame:
@@ -104,8 +100,8 @@ def _weighted(requests: DataFrame, words: tf.Vocabulary) -> DataFrame:
 
 def lexical_search(index: TermIndex, requests: DataFrame, k: int = 3) -> DataFrame:
     """The k chunks with the highest tf-idf cosine per request; chunks without a shared term are no hits."""
-    found, bounded = top_k(index.terms, _weighted(valid_query(requests), index.words), TermScorer, k)
-    return _with_payload(found, bounded, index.chunks)
+    asked = _weighted(valid_query(requests), index.words)
+    return _with_payload(top_k(index.terms, asked, TermScorer, k), index.chunks)
 
 
 def retrieve_sections(index: TermIndex, requests: DataFrame) -> DataFrame:

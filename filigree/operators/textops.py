@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.functions.text import strip_space
 from filigree.operators import terms as tf
 from filigree.session import materialize
 
 
 def sentences(text: Column) -> Column:
     """A text split at `. `; white space around a sentence and blank sentences are dropped."""
-    parts = F.transform(F.split(text, r"\. "), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(text, r"\. "), strip_space)
     return F.filter(parts, lambda s: s != "")
 
 
@@ -24,14 +25,15 @@ def summarize_extractive(
     A sentence scores the mean idf of its terms (a boosted term counts twice), rounded to 6
     places; ties go to the earlier one. Sentences are taken by score while the sum of their
     words stays within the limit, and the first that exceeds it ends the summary. The best
-    sentence is always taken.
+    sentence is always taken. A text without a sentence has an empty summary.
     """
     if words is None:
         words = tf.vocabulary(materialize(tf.counted_terms(documents, [key], text), "terms"))
-    split = documents.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
+    split = documents.select(key, F.posexplode_outer(sentences(F.col(text))).alias("pos", "sentence"))
+    split = split.withColumns({"pos": F.coalesce("pos", F.lit(0)), "sentence": F.coalesce("sentence", F.lit(""))})
     scores = tf.idf_sums(tf.counted_terms(split, [key, "pos", "sentence"], "sentence"), [key, "pos"], words, boost)
     scored = scores.select(
-        key, "pos", "sentence", F.size(F.split("sentence", r"\s+")).alias("n"),
+        key, "pos", "sentence", F.when(F.col("sentence") == "", 0).otherwise(F.size(F.split("sentence", r"\s+"))).alias("n"),
         F.round(F.coalesce("mean_idf", F.lit(0.0)), 6).alias("score"),
     )
     best = Window.partitionBy(key).orderBy(F.desc("score"), "pos")
@@ -74,8 +76,8 @@ def compare_texts(pairs: DataFrame, texts: str = "texts", focus: list[str] | Non
 def compare_weights(pairs: DataFrame, words: tf.Vocabulary, key: str = "pair_id", texts: str = "texts") -> DataFrame:
     """(key, other, cosine): tf-idf cosine of the first text of a row with each other one.
 
-    Terms meet within their row, so the work grows with the texts, not with pairs of rows. A
-    text without terms gives no row.
+    Terms meet within their row, so the work grows with the texts, not with pairs of rows. The
+    cosine with a text without terms is 0.
     """
     split = pairs.filter(F.size(texts) >= 2).select(key, F.posexplode(texts).alias("other", "text"))
     rows = tf.with_idf(tf.counted_terms(split, [key, "other"], "text"), [key, "other"], words)
@@ -89,6 +91,7 @@ def compare_weights(pairs: DataFrame, words: tf.Vocabulary, key: str = "pair_id"
         F.sum(F.col("w") * F.col("w0")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("nn")
     ).withColumn("n0", of_first("nn", key))
     cosine = F.try_divide(F.col("dot"), F.sqrt("nn") * F.sqrt("n0"))
-    return sums.filter(F.col("other") > 0).select(
+    every = split.filter(F.col("other") > 0).select(key, "other")
+    return every.join(sums, [key, "other"], "left").select(
         key, "other", F.round(F.coalesce(cosine, F.lit(0.0)), 4).alias("cosine")
     )

@@ -1,46 +1,44 @@
-"""Exact top-k scoring of request rows against corpus rows.
+"""Exact top-k scoring of request rows against corpus rows, one way for every size.
 
 Scoring every request against every corpus row is inherent to exact search; moving every
-scored pair is not. Each task scores its own corpus rows in numpy blocks and hands on only
-its k best per request, so a window over `k x tasks` rows per request finishes the job.
-
-- Requests that fit a checked bound are broadcast and the corpus is scanned where it lies.
-- Beyond the bound both sides are cut into blocks by a hash of their unique ids, every pair
-  of blocks meets in one bounded group, and the result is the same.
+scored pair is not. The requests are stored once, in blocks of bounded size, in the shared folder.
+The corpus is scanned where it lies: for every run of rows a task reads the blocks one after
+the other and hands on its k best per request, so a window over those finishes the job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_REQUESTS = 8192
-MAX_BROADCAST_BYTES = 64 << 20
-# Upper bound of requests x k up to which the hits may be broadcast to fetch their chunks.
-MAX_BROADCAST_HITS = 200_000
-# Scoring tasks per core: every task hands on k rows per request, so very many small tasks
-# would only enlarge the last shuffle.
-TASKS_PER_CORE = 4
+from filigree.session import materialize, scratch_path
+
+# Requests of a block, and values (vector elements or terms) of all of them.
 BLOCK_REQUESTS = 4096
+BLOCK_VALUES = 4 << 20
+# Corpus rows that meet all blocks before the next ones are read.
 BLOCK_ROWS = 65536
 # Cells of one score block: bounds the memory of a task whatever the batch size is.
 BLOCK_CELLS = 4 << 20
+# Terms of a block that go through one matrix product. Dense and posting sums add in another order;
+# scores are cut to PLACES places afterwards, so only a tie at the last place could tell.
 DENSE_TERMS = 512
-# Up to this k, repeated maxima are faster than a sort of the block.
-FEW = 16
 PLACES = 6
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    """Unit vectors as rows; a zero vector stays zero."""
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors as rows; a zero vector stays zero, null elements are NaN."""
+    if pc.any(pc.not_equal(pc.list_value_length(vectors), width)).as_py():
+        raise ValueError(f"vectors of another length than {width}")
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), width)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms == 0, 1.0, norms)
 
@@ -74,11 +72,15 @@ class CompanyFilter:
 class VectorScorer:
     """Cosine similarity of embeddings."""
 
+    values = "embedding"
+
     def __init__(self, requests: pa.Table):
-        self.vectors = _matrix(_plain(requests["embedding"]))
+        vectors = _plain(requests["embedding"])
+        self.width = len(vectors[0]) if len(vectors) else 0
+        self.vectors = _matrix(vectors, self.width)
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
-        return self.vectors @ _matrix(batch.column("embedding")).T
+        return self.vectors @ _matrix(batch.column("embedding"), self.width).T
 
 
 class TermScorer:
@@ -88,6 +90,8 @@ class TermScorer:
     posting by posting.
     """
 
+    values = "terms"
+
     def __init__(self, requests: pa.Table):
         terms = _plain(requests["terms"])
         owner = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
@@ -127,131 +131,118 @@ class TermScorer:
 
 
 class Best:
-    """The k best corpus ids per request seen so far, ties broken by id."""
+    """The k best corpus rows per request seen so far, ties broken by id. Scores that are not finite are no hits."""
 
-    def __init__(self, size: int, k: int):
+    def __init__(self, k: int):
         self.k = k
-        self.scores = np.full((size, 0), -np.inf)
-        self.ids = np.empty((size, 0), dtype=object)
+        self.found: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, scores: np.ndarray, ids: np.ndarray, tickers: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         scores = np.round(scores[:, order], PLACES)
-        ids = ids[order]
-        if self.k <= FEW:
-            # argmax takes the first of equal scores: the smallest id.
-            lines, best = np.arange(len(scores)), []
-            for _ in range(min(self.k, len(ids))):
-                at = scores.argmax(axis=1)
-                best.append((scores[lines, at], ids[at]))
-                scores[lines, at] = -np.inf
-            chosen, names = (np.column_stack(part) for part in zip(*best))
-        else:
-            at = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
-            chosen, names = np.take_along_axis(scores, at, axis=1), ids[at]
-        self.scores = np.hstack([self.scores, chosen])
-        self.ids = np.hstack([self.ids, names])
-        if self.scores.shape[1] > 16 * self.k:
-            self.cut()
-
-    def cut(self) -> None:
-        if self.scores.shape[1] <= self.k:
-            return
-        _, rank = np.unique(self.ids.ravel(), return_inverse=True)
-        order = np.lexsort((rank.reshape(self.ids.shape), -self.scores), axis=-1)[:, : self.k]
-        self.scores = np.take_along_axis(self.scores, order, axis=1)
-        self.ids = np.take_along_axis(self.ids, order, axis=1)
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.cut()
-        line, column = np.nonzero(np.isfinite(self.scores))
-        return line, self.ids[line, column], self.scores[line, column]
-
-
-def _score(requests: pa.Table, batches: Iterator[pa.RecordBatch], scorer: type, k: int, id_type: pa.DataType):
+        scores[~np.isfinite(scores)] = -np.inf
+        least = np.full(len(scores), -np.inf)
+        if self.k < scores.shape[1]:
+            least = np.partition(scores, -self.k, axis=1)[:, -self.k]
+        line, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        self.found.append(self.cut(line, ids[order[at]], tickers[order[at]], scores[line, at], at))
+
+    def cut(self, line, ids, tickers, scores, place) -> tuple[np.ndarray, ...]:
+        """The first k of each line by falling score, then by place, the rank of the id."""
+        order = np.lexsort((place, -scores, line))
+        line = line[order]
+        rank = np.arange(len(line)) - np.searchsorted(line, line)
+        kept = order[rank < self.k]
+        return line[rank < self.k], ids[kept], tickers[kept], scores[kept]
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        if not self.found:
+            return tuple(np.zeros(0, kind) for kind in (int, object, object, float))
+        line, ids, tickers, scores = (np.concatenate(part) for part in zip(*self.found))
+        return self.cut(line, ids, tickers, scores, np.unique(ids, return_inverse=True)[1])
+
+
+def _score(requests: pa.Table, rows: pa.Table, scorer: type, k: int, schema: pa.Schema) -> pa.Table:
     kernel = scorer(requests)
     filters = CompanyFilter(_plain(requests["companies"]))
-    best = Best(requests.num_rows, k)
+    best = Best(k)
     step = max(1, BLOCK_CELLS // max(1, requests.num_rows))
+    for start in range(0, rows.num_rows, step):
+        part = rows.slice(start, step).combine_chunks().to_batches()[0]
+        scores = kernel.scores(part)
+        filters.apply(scores, part.column("ticker"))
+        best.add(scores, *(part.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "ticker")))
+    line, ids, tickers, scores = best.rows()
+    return pa.table(
+        [_plain(requests["query_id"]).take(pa.array(line)), pa.array(list(ids), schema.field(1).type),
+         pa.array(list(tickers), schema.field(2).type), pa.array(scores, pa.float64())],
+        schema=schema,
+    )
+
+
+def _stored(requests: DataFrame, values: str) -> tuple[DataFrame, str, int]:
+    """The requests as a table, the folder of their blocks, and the number of these."""
+    table = materialize(requests, "requests")
+    rows, size = table.agg(F.count("*"), F.coalesce(F.sum(F.size(values)), F.lit(0))).first()
+    blocks = max(1, -(-rows // BLOCK_REQUESTS), -(-size // BLOCK_VALUES))
+    path = scratch_path(table.sparkSession, "request-blocks")
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    table.withColumn("block", number).repartition("block").write.partitionBy("block").parquet(path)
+    return table, path, blocks
+
+
+def _blocks(path: str, blocks: int) -> Iterator[pa.Table]:
+    """The blocks of a folder one after the other; hashing may leave one empty."""
+    fs, place = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    for block in range(blocks):
+        folder = f"{place}/block={block}"
+        if fs.get_file_info(folder).type == pafs.FileType.Directory:
+            yield pads.dataset(folder, format="parquet", filesystem=fs).to_table()
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to runs of about BLOCK_ROWS rows."""
+    held, n = [], 0
     for batch in batches:
-        for start in range(0, batch.num_rows, step):
-            part = batch.slice(start, step)
-            scores = kernel.scores(part)
-            filters.apply(scores, part.column("ticker"))
-            best.add(scores, part.column("chunk_id").to_numpy(zero_copy_only=False))
-    line, ids, scores = best.rows()
-    return pa.table({
-        "query_id": _plain(requests["query_id"]).take(pa.array(line)),
-        "chunk_id": pa.array(list(ids), id_type),
-        "score": pa.array(scores, pa.float64()),
-    })
-
-
-def _bounded(requests: DataFrame) -> pa.Table | None:
-    """The requests as one table when they stay within the bound, else None."""
-    table = requests.limit(MAX_BROADCAST_REQUESTS + 1).toArrow()
-    small = table.num_rows <= MAX_BROADCAST_REQUESTS and table.nbytes <= MAX_BROADCAST_BYTES
-    return table if small else None
-
-
-def _scan(corpus: DataFrame, table: pa.Table, scorer: type, k: int, schema: T.StructType, id_type) -> DataFrame:
-    context = corpus.sparkSession.sparkContext
-    shared = context.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _score(shared.value, batches, scorer, k, id_type).to_batches()
-
-    return corpus.coalesce(TASKS_PER_CORE * context.defaultParallelism).mapInArrow(run, schema)
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BLOCK_ROWS:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
 
-def _blocks(corpus: DataFrame, requests: DataFrame, scorer: type, k: int, schema: T.StructType, id_type) -> DataFrame:
-    request_blocks = -(-requests.count() // BLOCK_REQUESTS)
-    corpus_blocks = -(-corpus.count() // BLOCK_ROWS)
-
-    def own(key: str, blocks: int):
-        return F.pmod(F.xxhash64(key), F.lit(max(1, blocks)))
-
-    def every(blocks: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, blocks) - 1).cast("long")))
-
-    left = requests.select("*", own("query_id", request_blocks).alias("_q"), every(corpus_blocks).alias("_c"))
-    right = corpus.select("*", own("chunk_id", corpus_blocks).alias("_c"), every(request_blocks).alias("_q"))
-
-    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        return _score(asked, iter(rows.combine_chunks().to_batches()), scorer, k, id_type)
-
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(run, schema)
-
-
-def top_k(corpus: DataFrame, requests: DataFrame, scorer: type, k: int) -> tuple[DataFrame, bool]:
-    """(query_id, chunk_id, score, rank) with rank 1..k, and whether that is few enough rows to broadcast.
+def top_k(corpus: DataFrame, requests: DataFrame, scorer: type, k: int) -> DataFrame:
+    """(query_id, chunk_id, ticker, score, rank) with rank 1..k.
 
     `corpus` has chunk_id, ticker and the scorer's columns; `requests` has query_id,
     companies and the scorer's columns.
     """
     fields = {f.name: f.dataType for f in [*corpus.schema, *requests.schema]}
     schema = T.StructType([
-        T.StructField("query_id", fields["query_id"]),
-        T.StructField("chunk_id", fields["chunk_id"]),
+        *[T.StructField(name, fields[name]) for name in ("query_id", "chunk_id", "ticker")],
         T.StructField("score", T.DoubleType()),
     ])
-    id_type = pa.int64() if isinstance(fields["chunk_id"], T.LongType) else pa.string()
-    table = _bounded(requests)
-    if table is not None:
-        found = _scan(_pruned(corpus, table), table, scorer, k, schema, id_type)
-    else:
-        found = _blocks(corpus, requests, scorer, k, schema, id_type)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked, table is not None and table.num_rows * k <= MAX_BROADCAST_HITS
+    arrow = pa.schema([
+        (f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64() if f.name == "score" else pa.string())
+        for f in schema
+    ])
+    table, path, blocks = _stored(requests, scorer.values)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            for asked in _blocks(path, blocks):
+                yield from _score(asked, rows, scorer, k, arrow).to_batches()
 
-def _pruned(corpus: DataFrame, table: pa.Table, limit: int = 1000) -> DataFrame:
-    """Push the union of the company lists to the scan when every request has one."""
-    lists = _plain(table["companies"]).to_pylist()
-    names = {name for row in lists for name in row or [] if name is not None}
-    if lists and all(lists) and len(names) <= limit:
-        return corpus.filter(F.col("ticker").isin(sorted(names)))
-    return corpus
+    found = _pruned(corpus, table).mapInArrow(run, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _pruned(corpus: DataFrame, requests: DataFrame) -> DataFrame:
+    """Only companies that some request may see, unless one may see all. The join prunes the partitions of the scan."""
+    if requests.filter(F.coalesce(F.size("companies"), F.lit(0)) <= 0).take(1):
+        return corpus
+    names = requests.select(F.explode("companies").alias("ticker")).distinct()
+    return corpus.join(names, "ticker", "left_semi").select(*corpus.columns)

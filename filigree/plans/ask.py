@@ -21,21 +21,31 @@ from filigree.session import materialize
 class Asked:
     """What is known before a model has answered.
 
-    `requests` are those of the retrieval route, with their `hits` and `citations`; `prompts`
-    (query_id, route, prompt) covers both routes.
+    `requests` are those of the retrieval route, with their `hits` and `citations`, `by_agent` those of the
+    agent route; `prompts` (query_id, route, prompt) covers both.
     """
 
     requests: DataFrame
+    by_agent: DataFrame
     hits: DataFrame
     citations: DataFrame
     prompts: DataFrame
     messages: DataFrame
 
-    def responses(self, answers: DataFrame, rules: FollowupRules = FollowupRules()) -> DataFrame:
-        """Final rows of the retrieval route for answers (query_id, answer) to its prompts."""
+    def responses(
+        self, answers: DataFrame, rules: FollowupRules = FollowupRules(),
+        steps: DataFrame | None = None, agent_rules: AgentRules = AgentRules(),
+    ) -> DataFrame:
+        """Final rows of every request for answers (query_id, answer) to the prompts.
+
+        With the tool steps of the agent route both routes are in the table; without them only the retrieval route.
+        """
         full = self.requests.join(answers, "query_id", "left")
         suggestions = suggest_followups(full, self.hits, self.messages, rules)
-        return K.build_responses(self.requests, answers, self.hits, self.citations, suggestions)
+        direct = K.build_responses(self.requests, answers, self.hits, self.citations, suggestions)
+        if steps is None:
+            return direct
+        return direct.unionByName(agent_responses(self.by_agent, steps, answers, self.messages, agent_rules))
 
 
 def history_lines(messages: DataFrame) -> DataFrame:
@@ -66,10 +76,11 @@ def ask(index: TermIndex, requests: DataFrame, messages: DataFrame, k: int = 3,
         .select("query_id", F.lit("rag").alias("route"),
                 rag_prompt(F.col("query"), F.col("context"), F.col("lines")).alias("prompt"))
     )
-    by_agent = routed.filter("to_agent").select(
+    taken = routed.filter("to_agent").drop("to_agent")
+    by_agent = taken.select(
         "query_id", F.lit("agent").alias("route"), agent_prompt(F.col("query"), F.col("companies")).alias("prompt")
     )
-    return Asked(direct, hits, K.dedupe_citations(hits), rag.unionByName(by_agent), history)
+    return Asked(direct, taken, hits, K.dedupe_citations(hits), rag.unionByName(by_agent), history)
 
 
 def agent_responses(
@@ -77,11 +88,13 @@ def agent_responses(
 ) -> DataFrame:
     """Final rows of the agent route from its steps and answers.
 
-    Citations come from the retriever steps; a request without any step gets those its answer
-    and companies allow.
+    Citations come from the retriever steps. A request without steps has none, unless its column
+    `no_trace` says that the record of its steps is missing: then it gets those its answer and
+    companies allow.
     """
     full = requests.drop("answer").join(answers.select("query_id", "answer"), "query_id", "left")
-    without = full.join(steps.select("query_id"), "query_id", "left_anti")
+    missing = F.coalesce("no_trace", F.lit(False)) if "no_trace" in full.columns else F.lit(False)
+    without = full.filter(missing).join(steps.select("query_id"), "query_id", "left_anti")
     cited = K.collect_citations(K.agent_citations(steps).unionByName(K.fallback_citations(without)))
     suggestions = suggest_agent_followups(full, steps, messages, rules)
     return (

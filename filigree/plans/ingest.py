@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree import rules as R
-from filigree.functions.text import html_to_text
+from filigree.functions.text import html_to_text, main_document
 from filigree.operators.chunks import process_filing
 from filigree.operators.retrieval import embed
 from filigree.sources.collection import write_chunks
@@ -19,7 +19,7 @@ def filing_documents(
     spark: SparkSession, root: str, companies: DataFrame,
     filing_types: list[str] | None = None, limit: int = R.FILINGS_PER_TYPE,
 ) -> DataFrame:
-    """Texts of the newest filings of the companies; pages are reduced to plain text."""
+    """Texts of the newest filings of the companies as plain text; of a full submission, its main document."""
     files = filing_files(spark, root)
     filings = company_filings(files, companies, filing_types or R.FILING_TYPES, limit)
     picks = pick_primary_document(files).join(filings, FILING_KEY)
@@ -27,7 +27,7 @@ def filing_documents(
     page = ~(F.col("file_name") == "full-submission.txt")
     return documents.select(
         *FILING_KEY, "company", F.lit("Unknown").alias("filing_date"), "file_name",
-        F.when(page, html_to_text(F.col("text"))).otherwise(F.col("text")).alias("text"),
+        html_to_text(F.when(page, F.col("text")).otherwise(main_document(F.col("text")))).alias("text"),
     )
 
 

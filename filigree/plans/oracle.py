@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from filigree import rules as R
-from filigree.functions import text as X
 from filigree.plans import standins as D
 
 ORACLE: dict[str, str] = {}
@@ -59,8 +58,11 @@ def unique(a: str) -> str:
     return f"list_filter({a}, lambda x, i: list_position({a}, x) = i)"
 
 
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def strip(text: str) -> str:
-    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace({text}, '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 
 def part(name: str, sql: str, use: Iterable[str] = ()) -> None:
@@ -111,7 +113,7 @@ part("chunks", f"""
           from documents where length(text) > 0)""")
 part("postings", """
     select chunk_id, term, count(*) as tf
-    from (select chunk_id, unnest(regexp_extract_all(lower(content), '[a-zà-ÿ]{2,}')) as term from chunks)
+    from (select chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) as term from chunks)
     group by all""", ["chunks"])
 part("total", "select count(*)::double as n from chunks", ["chunks"])
 part("idf", "select term, ln((any_value(n) + 1) / (count(*) + 1)) + 1 as idf from postings, total group by term",
@@ -125,7 +127,7 @@ def lexical_parts(prefix: str, requests: str, k: int, use: list[str]) -> None:
     """Parts `<prefix>_hits` for requests (query_id, query, companies)."""
     part(f"{prefix}_terms", f"""
         select query_id, term, count(*) as tf from (
-            select query_id, unnest(regexp_extract_all(lower(query), '[a-zà-ÿ]{{2,}}')) as term from {requests})
+            select query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) as term from {requests})
         group by all""", use)
     part(f"{prefix}_weights", f"""
         select query_id, term, tf * coalesce(idf, ln(n + 1) + 1)
@@ -144,7 +146,8 @@ def lexical_parts(prefix: str, requests: str, k: int, use: list[str]) -> None:
 
 part("free", "select query_id, query, cast([] as varchar[]) as companies from asked", ["asked"])
 lexical_parts("free", "free", 3, ["free"])
-part("five", """select query_id, case when turn > 5 then '' else query end as query, companies from asked""", ["asked"])
+part("five", """
+    select query_id, query, companies from asked union all select query_id || '-blank', '', companies from asked""", ["asked"])
 lexical_parts("five", "five", 5, ["five"])
 lexical_parts("lastq", "last_q", 3, ["last_q"])
 
@@ -208,10 +211,10 @@ oracle("search_companies", """
     from customer where contains(lower(c_name || ' (' || c_mktsegment || ')'), '7 (auto')""")
 oracle("selectable_company", """
     select event_id, user_id as ticker from events
-    where user_id in (select c_custkey from customer where c_acctbal > 0)""")
+    where user_id in (select c_custkey from customer)""")
 oracle("company_display_name", """
-    select c_custkey, c_nationkey::varchar as ticker, coalesce(n_name, c_nationkey::varchar) as display_name
-    from customer left join (select * from nation where n_regionkey <> 1) on c_nationkey = n_nationkey""")
+    select c_custkey, t::varchar as ticker, coalesce(n_name, t::varchar) as display_name
+    from (select c_custkey, c_nationkey + 100 * (c_custkey % 3 = 0)::int as t from customer) left join nation on t = n_nationkey""")
 oracle("write_chunks", "select chunk_id, content, ticker, section, chunk_index::int as chunk_index from chunks", ["chunks"])
 oracle("ingest_stream", """
     select source || '_' || lang || '_' || doc_id || '_Full Document_' || i as chunk_id,
@@ -239,13 +242,19 @@ oracle("filing_url", f"""
 _page = "coalesce(nullif(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), ''), " \
         "nullif(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), ''), html)"
 _page = f"regexp_replace({_page}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g')"
-_page = rf"regexp_replace({_page}, '(?i)</?(?:{X.BLOCK_TAGS})(?:\s[^>]*)?/?>', chr(10), 'g')"
+_tags = "p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|hr|pre|blockquote"
+_page = rf"regexp_replace({_page}, '(?i)</?(?:{_tags})(?:\s[^>]*)?/?>', chr(10), 'g')"
 _page = f"regexp_replace({_page}, '<[^>]*>', '', 'g')"
-for _entity, _char in X.ENTITIES:
+for _entity, _char in [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&ndash;", "\u2013"), ("&rsquo;", "\u2019"),
+    ("&#8220;", "\u201c"), ("&#x201D;", "\u201d"), ("&#xa0;", " "), ("&#128512;", "\U0001f600"), ("&#39;", "'"), ("&amp;", "&"),
+]:
     _page = f"replace({_page}, {lit(_entity)}, {lit(_char)})"
 _page = rf"regexp_replace({_page}, '[ \t\r]+', ' ', 'g')"
 _page = rf"regexp_replace({_page}, ' ?\n[ \n]*', chr(10), 'g')"
-part("page_text", f"select page_id, url, {strip(_page)} as text from pages")
+_marked = "replace(html, '</article>', '<p>&#8220;a&#x201D;&#xa0;&ndash; &#128512;&rsquo;s &amp;lt; &#0; &#xD800; &unknown;</p></article>')"
+part("marked", f"select page_id, url, {_marked} as html from pages")
+part("page_text", f"select page_id, url, {strip(_page)} as text from marked", ["marked"])
 oracle("html_to_text", "select page_id, text from page_text", ["page_text"])
 oracle("extract_sections", f"""
     select doc_id, section, text from (
@@ -293,7 +302,7 @@ oracle("extract_years", """
 oracle("strip_selection_tag", rf"""
     select conv_id, turn, annotated, {strip('''replace(c, case conv_id % 3 when 0 then '(Companies selected: kept)'
         when 1 then '(Companies selected: src1)' else '(Companies selected: src1, src2)' end, '')''')} as content
-    from (select *, ' ' || chr(10) || annotated || ' (Companies selected: kept)' || chr(9) as c
+    from (select *, ' ' || chr(160) || chr(10) || annotated || ' (Companies selected: kept)' || chr(12288) || chr(9) as c
           from (select *, content || case conv_id % 3 when 0 then '' when 1 then ' (Companies selected: src1)'
                     else ' (Companies selected: src1, src2)' end as annotated from m))""", ["m"])
 
@@ -372,7 +381,7 @@ oracle("fallback_citations", f"""
 
 # -- routing and tags ------------------------------------------------------
 
-oracle("valid_query", "select conv_id, turn, content as query from m where turn % 3 = 0", ["m"])
+oracle("valid_query", "select conv_id, turn, content as query from m where turn % 4 = 0", ["m"])
 oracle("normalize_companies", """
     select doc_id, source, source || '|' || lang as listed, '' as n_chars from documents""")
 
@@ -429,10 +438,11 @@ _words = {w: [w] for w in D.WORDS}
 oracle("user_topics", f"""
     select conv_id, {line(grouped('lower(content)', _words))} as topics from m where role = 'user' group by 1""", ["m"])
 oracle("priority_topics", f"""
-    select conv_id, {line(f"list_concat({both('h', 'c')}, {without('c', 'h')})")} as topics
+    select conv_id, {line(f"list_concat({both('h', 'c')}, {without('c', 'h')})")} as topics from (
+    select conv_id, coalesce(h, cast([] as varchar[])) as h, coalesce(c, cast([] as varchar[])) as c
     from (select conv_id, {grouped('lower(content)', _words)} as h from m where role = 'user' group by 1)
-    join (select conv_id, {grouped('lower(content)', _words)} as c from m where role = 'assistant' group by 1)
-    using (conv_id)""", ["m"])
+    full join (select conv_id, {grouped('lower(content)', _words)} as c from m where role = 'assistant' group by 1)
+    using (conv_id))""", ["m"])
 oracle("missing_sections", f"""
     select doc_id, {line(without(strings(D.WORDS), 'found'))} as missing
     from (select doc_id, {word_tag('lower(text)', D.WORDS)} as found from documents)""")
@@ -569,7 +579,7 @@ part("agent_fallback", f"""
             lambda n: c || '/' || c || '/{R.FALLBACK_FILING}/' || n)))), '|') as citations
     from (select *, {_named} as named,
             case doc_id % 3 when 0 then cast([] as varchar[]) when 1 then ['AAPL'] else ['AAPL', 'MSFT'] end as companies
-          from documents where doc_id not in (select query_id from steps))""", ["steps"])
+          from documents where doc_id % 2 = 0 and doc_id not in (select query_id from steps))""", ["steps"])
 oracle("ask_agent", f"""
     select d.doc_id as query_id, d.text as answer, coalesce(c.citations, f.citations, '') as citations,
         {line('s')} as suggested_queries
@@ -643,39 +653,64 @@ oracle("trend_text", """
         || previous_year || ' and ' || year || '.' as message
     from trends where is_latest""", ["trends"])
 part("doc_terms", """
-    select doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]{2,}'))) as t from documents""")
+    select doc_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))) as t from documents""")
 oracle("compare_texts", f"""
     select a.doc_id as pair_id, {line(both('a.t', 'b.t'))} as shared_terms, {line(without('a.t', 'b.t'))} as own_first,
         {line(without('b.t', 'a.t'))} as own_second,
         round(len({both('a.t', 'b.t')}) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0), 4) as jaccard
-    from doc_terms a join doc_terms b on b.doc_id = a.doc_id + 1""", ["doc_terms"])
+    from doc_terms a join (
+        select n.doc_id - 1 as doc_id, n.t from doc_terms n union all
+        select doc_id, cast([] as varchar[]) from doc_terms where doc_id + 1 not in (select doc_id from doc_terms)
+    ) b on b.doc_id = a.doc_id""", ["doc_terms"])
 part("doc_postings", """
     select doc_id, term, count(*) as tf from (
-        select doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{2,}')) as term from documents) group by all""")
+        select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) group by all""")
 part("doc_idf", """
     select term, ln(((select count(*) from documents)::double + 1) / (count(*) + 1)) + 1 as idf
     from doc_postings group by term""", ["doc_postings"])
 part("doc_weights", "select doc_id, term, tf * idf as w from doc_postings join doc_idf using (term)", ["doc_postings", "doc_idf"])
 part("doc_norms", "select doc_id, sqrt(sum(w * w)) as norm from doc_weights group by 1", ["doc_weights"])
 oracle("compare_weights", """
-    select b.doc_id - 1 as pair_id, 1 as other,
-        round(coalesce(sum(a.w * b.w) / any_value(na.norm * nb.norm), 0), 4) as cosine
-    from doc_weights b join doc_norms nb on nb.doc_id = b.doc_id
-    join documents p on p.doc_id = b.doc_id - 1
-    left join doc_norms na on na.doc_id = b.doc_id - 1
-    left join doc_weights a on a.doc_id = b.doc_id - 1 and a.term = b.term
-    group by b.doc_id""", ["doc_weights", "doc_norms"])
+    select p.doc_id as pair_id, 1 as other, round(coalesce(d.dot / (na.norm * nb.norm), 0), 4) as cosine
+    from documents p left join doc_norms na on na.doc_id = p.doc_id left join doc_norms nb on nb.doc_id = p.doc_id + 1
+    left join (select a.doc_id, sum(a.w * b.w) as dot from doc_weights a join doc_weights b
+               on b.doc_id = a.doc_id + 1 and b.term = a.term group by 1) d on d.doc_id = p.doc_id""", ["doc_weights", "doc_norms"])
 part("sents", rf"""
     select doc_id, unnest(s) as sentence, generate_subscripts(s, 1) as pos from (
-        select doc_id, list_filter(list_transform(string_split(text, '. '), lambda x: {strip('x')}), lambda x: x <> '') as s
+        select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), '. '), lambda x: {strip('x')}), lambda x: x <> '') as s
         from documents)""")
 part("sent_scores", r"""
     select s.doc_id, s.pos, s.sentence, len(regexp_split_to_array(sentence, '\s+')) as n, coalesce(score, 0) as score
     from sents s left join (
         select doc_id, pos, round(avg(idf), 6) as score from (
-            select doc_id, pos, unnest(regexp_extract_all(lower(sentence), '[a-zà-ÿ]{2,}')) as term from sents)
+            select doc_id, pos, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')) as term from sents)
         join doc_idf using (term) group by all) using (doc_id, pos)""", ["sents", "doc_idf"])
 oracle("summarize_extractive", """
-    select doc_id, string_agg(sentence, '. ' order by pos) as summary, sum(n)::bigint as n_words from (
-        select *, sum(n) over (partition by doc_id order by score desc, pos rows unbounded preceding) as running
-        from sent_scores) where running <= 150 or running = n group by doc_id""", ["sent_scores"])
+    select d.doc_id, coalesce(any_value(summary), '') as summary, coalesce(any_value(n_words), 0)::bigint as n_words
+    from documents d left join (
+        select doc_id, string_agg(sentence, '. ' order by pos) as summary, sum(n)::bigint as n_words from (
+            select *, sum(n) over (partition by doc_id order by score desc, pos rows unbounded preceding) as running
+            from sent_scores) where running <= 150 or running = n group by doc_id) s on s.doc_id = d.doc_id
+    group by d.doc_id""", ["sent_scores"])
+oracle("knn_odd_vectors", """
+    with odd as (select vec_id, case vec_id % 7 when 1 then list_concat(embedding[1:3]::double[], [null], embedding[5:]::double[])
+                     when 2 then list_concat(embedding[1:3]::double[], ['nan'::double], embedding[5:]::double[]) else embedding::double[] end as e from embeddings),
+    fine as (select * from odd where vec_id % 7 not in (1, 2)),
+    ranked as (select a.vec_id as query_id, b.vec_id as chunk_id,
+        round(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)), 6) as score
+        from fine a, fine b),
+    numbered as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from ranked)
+    select k, query_id, rank::int as rank, chunk_id from numbered, (values (1), (3), (20)) v(k) where rank <= k""")
+oracle("chunk_text_recursive", r"""
+    with recursive s as (
+        select doc_id, text, 1::bigint as p, 0::bigint as n, 0 as i from documents where length(text) > 0
+        union all
+        select doc_id, text, p + n, case when length(text) - p - n + 1 <= 900 then length(text) - p - n + 1 else
+            coalesce(nullif(length(regexp_extract(substring(text, p + n, 900), '(?s)^(.+\n\n)', 1)), 0),
+                     nullif(length(regexp_extract(substring(text, p + n, 900), '(?s)^(.+\n)', 1)), 0),
+                     nullif(length(regexp_extract(substring(text, p + n, 900), '(?s)^(.+ )', 1)), 0), 900) end, i + 1
+        from s where p + n <= length(text)),
+    strides as (select doc_id, i - 1 as i, substring(text, p, n) as x from s where i > 0)
+    select a.doc_id, a.i::int as chunk_index, a.x || coalesce(substring(b.x, 1, 100), '') as content
+    from strides a left join strides b on b.doc_id = a.doc_id and b.i = a.i + 1
+    where a.i = 0 or b.x is not null or length(a.x) > 100""".replace("\\n", "\n"))

@@ -108,16 +108,17 @@ def search_companies(spark, sf):
 @query
 def selectable_company(spark, sf):
     selections = D.table(spark, sf, "events").select("event_id", F.col("user_id").alias("ticker"))
-    customers = D.table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("ticker"))
+    customers = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("ticker"))
     return B.selectable_company(selections, customers).select("event_id", "ticker")
 
 
 @query
 def company_display_name(spark, sf):
-    names = D.table(spark, sf, "nation").filter("n_regionkey <> 1").select(
+    names = D.table(spark, sf, "nation").select(
         F.col("n_nationkey").cast("string").alias("ticker"), F.col("n_name").alias("display")
     )
-    rows = D.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("ticker"))
+    nation = F.col("c_nationkey") + F.when(F.col("c_custkey") % 3 == 0, 100).otherwise(0)  # a third is unknown
+    rows = D.table(spark, sf, "customer").select("c_custkey", nation.cast("string").alias("ticker"))
     return B.company_display_name(rows, names)
 
 
@@ -186,14 +187,20 @@ def filing_url(spark, sf):
 
 @query
 def html_to_text(spark, sf):
-    return D.spread_table(spark, sf, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return _marked_pages(spark, sf).select("page_id", X.html_to_text(F.col("html")).alias("text"))
+
+
+def _marked_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with a paragraph of entities at the end of their article."""
+    marks = "<p>&#8220;a&#x201D;&#xa0;&ndash; &#128512;&rsquo;s &amp;lt; &#0; &#xD800; &unknown;</p></article>"
+    return D.spread_table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("</article>"), F.lit(marks)))
 
 
 @query
 def extract_sections(spark, sf):
     body = F.concat(
-        F.lit("Contents\nItem 1A. Risk Factors\nITEM 7. Discussion\nItem 1A. Risk Factors\n"), F.col("text"),
-        F.lit("\n  item 7. Discussion\n"), F.col("lang"), F.lit(" "), F.col("text"), F.lit("\nItem 8. Statements\nnone"),
+        F.lit("Contents\nItem 1A. Risk Factors\nITEM 7. Discussion\n\u00a0Item\u00a01A.\u3000Risk Factors\n"), F.col("text"),
+        F.lit("\n \u2003item\u00a07. Discussion\n"), F.col("lang"), F.lit(" "), F.col("text"), F.lit("\nItem 8. Statements\nnone"),
     )
     filings = D.documents(spark, sf).select("doc_id", body.alias("text"))
     return C.extract_sections(filings)
@@ -209,6 +216,11 @@ def chunk_text_snapped(spark, sf):
     return chunk_rows(D.table(spark, sf, "documents").select("doc_id", "text"), snap=True)
 
 
+@query
+def chunk_text_recursive(spark, sf):
+    return chunk_rows(D.table(spark, sf, "documents").select("doc_id", "text"), snap="recursive")
+
+
 @query
 def chunk_counts(spark, sf):
     return C.chunk_counts(D.chunks(spark, sf))
@@ -216,7 +228,7 @@ def chunk_counts(spark, sf):
 
 @query
 def process_filing(spark, sf):
-    pages = D.spread_table(spark, sf, "pages").select(
+    pages = _marked_pages(spark, sf).select(
         F.regexp_extract("url", r"//([^.]+)\.", 1).alias("ticker"), F.lit("10-K").alias("filing_type"),
         F.col("page_id").cast("string").alias("accession_number"), F.lit("").alias("company"),
         F.lit("").alias("filing_date"), X.html_to_text(F.col("html")).alias("text"),
@@ -269,7 +281,7 @@ def extract_years(spark, sf):
 def strip_selection_tag(spark, sf):
     tagged = V.annotate_user_message(D.messages(spark, sf).withColumn("companies", D.selection()))
     twice = tagged.withColumn("annotated", F.col("content")).withColumn(
-        "content", F.concat(F.lit(" \n"), F.col("content"), F.lit(" (Companies selected: kept)\t"))
+        "content", F.concat(F.lit(" \u00a0\n"), F.col("content"), F.lit(" (Companies selected: kept)\u3000\t"))
     )
     return V.strip_selection_tag(twice).select("conv_id", "turn", "annotated", "content")
 
@@ -285,7 +297,9 @@ def lexical_search(spark, sf):
 
 @query
 def retrieve_sections(spark, sf):
-    requests = D.questions(spark, sf).withColumn("query", F.when(F.col("turn") > 5, F.lit(" \n")).otherwise(F.col("query")))
+    asked = D.questions(spark, sf)
+    blank = asked.withColumns({"query_id": F.concat("query_id", F.lit("-blank")), "query": F.lit(" \n\u00a0")})
+    requests = asked.union(blank)
     return Q.retrieve_sections(Q.term_index(D.chunks(spark, sf)), requests).select("query_id", "rank", "score", "chunk_id")
 
 
@@ -298,6 +312,19 @@ def knn_search(spark, sf):
     return _neighbours(spark, sf, 3).select("query_id", "rank", "score", "chunk_id")
 
 
+@query
+def knn_odd_vectors(spark, sf):
+    """Some vectors have a null or a NaN element: these have no hits and are none, for any k."""
+    kind = F.col("vec_id") % 7
+    broken = F.when(kind == 1, F.lit(None).cast("double")).otherwise(F.lit(float("nan")))
+    odd = F.transform("embedding", lambda x, i: F.when((i == 3) & kind.isin(1, 2), broken).otherwise(x.cast("double")))
+    rows = D.table(spark, sf, "embeddings").select("vec_id", odd.alias("embedding"))
+    vectors = rows.select(F.col("vec_id").alias("chunk_id"), F.lit("T").alias("ticker"), "embedding")
+    requests = rows.select(F.col("vec_id").alias("query_id"), F.lit(None).cast("array<string>").alias("companies"), "embedding")
+    found = [Q.knn_search(vectors, requests, k).select(F.lit(k).alias("k"), "query_id", "rank", "chunk_id") for k in (1, 3, 20)]
+    return found[0].union(found[1]).union(found[2])
+
+
 @query
 def knn_filtered(spark, sf):
     return _neighbours(spark, sf, 3, True).select("query_id", "rank", "score", "chunk_id", "metadata.ticker")
@@ -379,7 +406,8 @@ def fallback_citations(spark, sf):
 
 @query
 def valid_query(spark, sf):
-    answered = F.when(F.col("turn") % 3 == 0, F.col("content")).when(F.col("turn") % 3 == 1, F.lit(" \n\t"))
+    kind = F.col("turn") % 4
+    answered = F.when(kind == 0, F.col("content")).when(kind == 1, F.lit(" \n\t")).when(kind == 2, F.lit("\u00a0\u3000\x1c"))
     return Q.valid_query(D.messages(spark, sf).withColumn("query", answered)).select("conv_id", "turn", "query")
 
 
@@ -497,7 +525,9 @@ def priority_topics(spark, sf):
     asked = V.user_topics(every, D.WORDS).select("conv_id", F.col("topics").alias("history"))
     answered = every.filter("role = 'assistant'").withColumn("role", F.lit("user"))
     content = V.user_topics(answered, D.WORDS)
-    both = asked.join(content, "conv_id")
+    none = F.expr("cast(array() as array<string>)")
+    both = asked.join(content, "conv_id", "full").select(
+        "conv_id", F.coalesce("history", none).alias("history"), F.coalesce("topics", none).alias("topics"))
     return both.select("conv_id", line(S.priority_topics(F.col("history"), F.col("topics"))).alias("topics"))
 
 
@@ -563,7 +593,8 @@ def _agent_requests(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("query_id") % 3
     companies = F.when(kind == 1, F.array(F.lit("AAPL"))).when(kind == 2, F.array(F.lit("AAPL"), F.lit("MSFT")))
     return D.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("query_id"), F.col("doc_id").alias("conv_id"), F.col("text").alias("answer")
+        F.col("doc_id").alias("query_id"), F.col("doc_id").alias("conv_id"), F.col("text").alias("answer"),
+        (F.col("doc_id") % 2 == 0).alias("no_trace"),
     ).withColumn("companies", companies)
 
 
@@ -647,10 +678,11 @@ def trend_text(spark, sf):
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with its successor."""
+    """Every document with its successor; the last one has an empty text beside it."""
     documents = D.documents(spark, sf).select("doc_id", "text")
     after = documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return documents.join(after, "doc_id").select(F.col("doc_id").alias("pair_id"), F.array("text", "other").alias("texts"))
+    other = F.coalesce("other", F.lit(""))
+    return documents.join(after, "doc_id", "left").select(F.col("doc_id").alias("pair_id"), F.array("text", other).alias("texts"))
 
 
 @query

@@ -8,22 +8,31 @@ from pyspark.sql import functions as F
 from filigree.schemas import COLLECTION
 
 
-def open_collection(spark: SparkSession, path: str) -> DataFrame:
-    """The collection at the path; an empty one is created if there is none."""
+def create_collection(spark: SparkSession, path: str) -> None:
+    """An empty collection at the path; one that is there already stays as it is."""
     spark.createDataFrame([], COLLECTION).write.mode("ignore").partitionBy("ticker").parquet(path)
+
+
+def open_collection(spark: SparkSession, path: str) -> DataFrame:
+    """The collection at the path. Nothing is written: a path without one fails when it is read."""
     return spark.read.schema(COLLECTION).parquet(path)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Append the chunks whose id is not stored yet; a second run adds nothing.
 
-    Existing ids are read as two columns. Before the write, rows are rebalanced by ticker:
+    Of chunks with one id the content with the smallest hash is taken. Stored ids are read as two columns, and
+    only in the partitions of the batch's tickers. Before the write, rows are rebalanced by ticker:
     small tickers share files, a ticker that holds much of the data is spread over tasks.
     """
     spark = chunks.sparkSession
-    stored = open_collection(spark, path).select("ticker", "chunk_id")
+    create_collection(spark, path)
     if "embedding" not in chunks.columns:
         chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
-    fresh = chunks.dropDuplicates(["ticker", "chunk_id"]).join(stored, ["ticker", "chunk_id"], "left_anti")
-    rows = fresh.select(*[f.name for f in COLLECTION])
+    rest = [f.name for f in COLLECTION if f.name not in ("ticker", "chunk_id")]
+    picked = F.min_by(F.struct(*rest), F.struct(F.xxhash64("content"), F.hash("content"))).alias("row")
+    unique = chunks.groupBy("ticker", "chunk_id").agg(picked).select("ticker", "chunk_id", "row.*")
+    stored = open_collection(spark, path).select("ticker", "chunk_id")
+    stored = stored.join(chunks.select("ticker").distinct(), "ticker", "left_semi")
+    rows = unique.join(stored, ["ticker", "chunk_id"], "left_anti").select(*[f.name for f in COLLECTION])
     rows.hint("rebalance", "ticker").write.mode("append").partitionBy("ticker").parquet(path)
