@@ -714,3 +714,27 @@ oracle("chunk_text_recursive", r"""
     select a.doc_id, a.i::int as chunk_index, a.x || coalesce(substring(b.x, 1, 100), '') as content
     from strides a left join strides b on b.doc_id = a.doc_id and b.i = a.i + 1
     where a.i = 0 or b.x is not null or length(a.x) > 100""".replace("\\n", "\n"))
+
+# -- filing trees ----------------------------------------------------------
+
+_accession = "lpad(page_id::varchar, 10, '0') || '-21-' || lpad((page_id % 1000000)::varchar, 6, '0')"
+_filing_page = """case when page_id % 7 = 0 then '<p>no items here</p>' else replace(html, '</article>', '<p>' || chr(160) || 'Item 1A. Risk Factors</p><p>risk '
+    || chr(8211) || ' of ' || page_id || '</p><p>Item 7. Discussion</p><p>talk ' || chr(8220) || 'of' || chr(8221) || ' ' || page_id
+    || '</p></article>') end"""
+part("tree", f"select 'P' || page_id % 20 as ticker, page_id, {_accession} as accession_number, {_filing_page} as html from pages")
+oracle("read_documents", f"""
+    select ticker, accession_number, 'Name ' || ticker as company,
+        case page_id % 5 when 0 then null when 1 then 'full-submission.txt' else 'primary.htm' end as file_name,
+        case when page_id % 5 > 0 then length({strip(_page)})::int end as n_chars
+    from tree""", ["tree"])
+part("tree_sections", """
+    select *, unnest([{'i': '1A', 's': 'Risk Factors', 't': 'risk ' || chr(8211) || ' of ' || page_id},
+        {'i': '7', 's': 'MD&A', 't': 'talk ' || chr(8220) || 'of' || chr(8221) || ' ' || page_id}]) as x
+    from tree where page_id % 5 > 0 and page_id % 7 > 0""", ["tree"])
+oracle("ingest", f"""
+    select ticker || '_10-K_' || accession_number || '_' || section || '_0' as chunk_id, content, ticker, section, 0::int as chunk_index
+    from (select *, case x.i when '1A' then {lit(R.TARGET_SECTIONS["1A"])} else {lit(R.TARGET_SECTIONS["7"])} end as section,
+                 x.t as content from tree_sections)""", ["tree_sections"])
+oracle("ingest_report", """
+    select ticker, accession_number, case when page_id % 5 = 0 then 'no document' when page_id % 7 = 0 then 'no section' else 'read' end as state,
+        case when page_id % 5 > 0 and page_id % 7 > 0 then 2 else 0 end::bigint as n_chunks from tree""", ["tree"])

@@ -26,6 +26,7 @@ from filigree.operators import routing as G
 from filigree.operators import suggestions as U
 from filigree.operators import terms as W
 from filigree.operators import textops as O
+from filigree.plans import ingest as Y
 from filigree.plans import standins as D
 from filigree.plans.ask import agent_responses, history_lines
 from filigree.plans.ask import ask as ask_flow
@@ -155,6 +156,31 @@ def read_document(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", X.valid_utf8(data).alias("text"))
 
 
+EVERY = 1_000_000_000
+
+
+@query
+def read_documents(spark, sf):
+    """A tree of files, of which the primary ones are opened; here as plain text."""
+    found = Y.filing_documents(spark, D.filing_tree(spark, sf), D.filers(spark, sf), ["10-K"], EVERY)
+    return found.select("ticker", "accession_number", "company", "file_name", F.length("text").alias("n_chars"))
+
+
+@query
+def ingest(spark, sf):
+    """A tree of files to chunks of two sections, written twice: the second run adds nothing."""
+    tree, path = D.filing_tree(spark, sf), scratch_path(spark, "collection")
+    for _ in range(2):
+        Y.ingest(spark, tree, D.filers(spark, sf), path, ["10-K"], EVERY)
+    return _stored(spark, path)
+
+
+@query
+def ingest_report(spark, sf):
+    tree, path = D.filing_tree(spark, sf), scratch_path(spark, "collection")
+    return Y.ingest(spark, tree, D.filers(spark, sf), path, ["10-K"], EVERY).drop("filing_type")
+
+
 @query
 def valid_accession(spark, sf):
     orders = D.table(spark, sf, "orders").select("o_orderkey", D.accession().alias("accession"))

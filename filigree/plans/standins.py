@@ -6,13 +6,17 @@ dictionaries below have the same shape and words that do occur.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree import rules as R
 from filigree.functions import text as X
 from filigree.functions.chunking import chunk_rows
-from filigree.session import spread
+from filigree.session import scratch_path
 
 TOPICS = {
     "revenue": ["thble", "heitlich"],
@@ -47,6 +51,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, most: int = 64) -> DataFrame:
+    """Spread a scan of few partitions over all cores before costly work on its rows.
+
+    A small table may sit in one row group and keep one core busy. A scan of `most` or more
+    partitions is left as it is, so no large table is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, most) else df
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table for costly row work: small ones sit in one row group."""
     return spread(table(spark, sf_dir, name))
@@ -163,3 +177,43 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(
         F.lit("ALL").alias("ticker"), F.col("o_orderpriority").alias("data_point"), F.year("o_orderdate").alias("year")
     ).agg(F.sum(value).cast("decimal(18,2)").alias("value"))
+
+
+def filing_tree(spark: SparkSession, sf_dir: str) -> str:
+    """All pages as files of a filing tree: pages, full submissions, and every fifth filing without a document."""
+    root = scratch_path(spark, "tree")
+    number = F.col("page_id").cast("string")
+    kind = F.col("page_id") % 5
+    name = F.when(kind == 0, "exhibit.pdf").when(kind == 1, "full-submission.txt").otherwise("primary.htm")
+    marks = "<p>\u00a0Item&#160;1A.&nbsp;Risk Factors</p><p>risk &#8211; of "
+    page = F.replace("html", F.lit("</article>"), F.concat(
+        F.lit(marks), number, F.lit("</p><p>Item 7. Discussion</p><p>talk &ldquo;of&rdquo; "), number, F.lit("</p></article>")))
+    page = F.when(F.col("page_id") % 7 == 0, F.lit("<p>no items here</p>")).otherwise(page)
+    wrapped = F.concat(
+        F.lit("<SEC-HEADER>x</SEC-HEADER>\n<DOCUMENT>\n<TYPE>10-K\n<TEXT>\n"), page,
+        F.lit("</TEXT></DOCUMENT>\n<DOCUMENT><TYPE>EX-1<TEXT>Item 7. Exhibit\nof no use</TEXT></DOCUMENT>"))
+    files = table(spark, sf_dir, "pages").select(
+        F.concat(
+            F.lit("/sec-edgar-filings/P"), (F.col("page_id") % 20).cast("string"), F.lit("/10-K/"),
+            F.lpad(number, 10, "0"), F.lit("-21-"), F.lpad((F.col("page_id") % 1000000).cast("string"), 6, "0"), F.lit("/"), name,
+        ).alias("path"),
+        F.encode(F.when(kind == 1, wrapped).otherwise(page), "utf-8").alias("data"),
+    )
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(*(column.to_pylist() for column in batch.columns)):
+                fs, top = pafs.FileSystem.from_uri(root) if root.startswith("file:") or "://" in root else (pafs.LocalFileSystem(), root)
+                fs.create_dir(f"{top}{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{top}{path}") as out:
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["path"])
+
+    files.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def filers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The companies of `filing_tree`."""
+    ticker = F.concat(F.lit("P"), (F.col("page_id") % 20).cast("string"))
+    return table(spark, sf_dir, "pages").select(ticker.alias("ticker"), F.concat(F.lit("Name "), ticker).alias("name")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +35,7 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for a local master without it."""
+    """The cluster's checkpoint folder; for a local master without it a temporary one, which goes when the process ends."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
@@ -42,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="filigree-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
     return _LOCAL_DIRS[app]
 
 
@@ -60,13 +63,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, most: int = 64) -> DataFrame:
-    """Spread a scan of few partitions over all cores before costly work on its rows.
-
-    A small table may sit in one row group and keep one core busy. A scan of `most` or more
-    partitions is left as it is, so no large table is ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, most) else df

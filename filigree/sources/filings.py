@@ -6,18 +6,19 @@ file: only `path` is read from the binary source. Contents are read for the chos
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filigree.functions.text import valid_utf8
 from filigree.rules import FILINGS_PER_TYPE
-from filigree.session import materialize
 
 TREE = r"/sec-edgar-filings/[^/]+/[^/]+/[^/]+/[^/]+$"
 ACCESSION = r"^\d{10}-\d{2}-\d{6}"
 FILING_KEY = ["ticker", "filing_type", "accession_number"]
-# Upper bound of a list of paths pushed into a scan.
-MAX_LISTED_PATHS = 20_000
 
 
 def parse_paths(files: DataFrame) -> DataFrame:
@@ -68,7 +69,8 @@ def company_filings(
     wanted = companies.select(F.upper("ticker").alias("ticker"), F.col("name").alias("company"))
     wanted = wanted.groupBy("ticker").agg(F.min("company").alias("company"))
     typed = files.filter(F.col("filing_type").isin(filing_types)) if filing_types else files
-    return list_filings(typed, limit).join(wanted, "ticker")
+    # Other companies go before anything is ranked.
+    return list_filings(typed.join(wanted.select("ticker"), "ticker", "left_semi"), limit).join(wanted, "ticker")
 
 
 def pick_primary_document(files: DataFrame) -> DataFrame:
@@ -85,20 +87,23 @@ def pick_primary_document(files: DataFrame) -> DataFrame:
     return best.select(*FILING_KEY, F.element_at(F.split(path, "/"), -1).alias("file_name"), path.alias("path"))
 
 
-def read_documents(spark: SparkSession, root: str, picks: DataFrame) -> DataFrame:
+def read_documents(picks: DataFrame) -> DataFrame:
     """`picks` with the `text` of their document, invalid UTF-8 replaced.
 
-    The binary source reads every file that passes listing, and tests on the file path or name
-    are made during listing. So the picked paths are pushed as a list while it is short. Beyond
-    that the scan is limited by name to possible documents and joined with the picks.
+    Only the picked files are opened: their paths are dealt over the tasks, and a task holds one file at a time.
     """
-    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = source.select(F.col("_metadata.file_path").alias("path"), F.lower("_metadata.file_name").alias("_name"), "content")
-    picks = materialize(picks, "picks")
-    listed = [row.path for row in picks.select("path").limit(MAX_LISTED_PATHS + 1).collect()]
-    if len(listed) <= MAX_LISTED_PATHS:
-        files = files.filter(F.col("path").isin(listed))
-    else:
-        name = F.col("_name")
-        files = files.filter(name.endswith(".htm") | name.endswith(".html") | (name == "full-submission.txt"))
-    return picks.join(files, "path").select(*picks.columns, valid_utf8(F.col("content")).alias("text"))
+    schema = picks.schema.add("content", "binary")
+    place = picks.columns.index("path")
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, uri in enumerate(batch.column(place).to_pylist()):
+                fs, path = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_stream(path) as source:
+                    content = source.read()
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], schema.fieldNames())
+
+    # Paths are a small table, and reading what they name is not: every path may go to another task.
+    opened = picks.repartition("path").mapInArrow(read, schema)
+    return opened.select(*picks.columns, valid_utf8(F.col("content")).alias("text"))

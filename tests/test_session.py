@@ -22,9 +22,11 @@ def test_shared_dir():
 
 
 def test_materialize_and_spread(spark):
+    from filigree.plans.standins import spread
+
     df = spark.range(10).selectExpr("id", "array(id) as a")
     stored = S.materialize(df, "t")
     assert stored.schema.simpleString() == df.schema.simpleString() and stored.count() == 10
     assert S.materialize(df.limit(0), "t").count() == 0
-    assert S.spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert S.spread(df.repartition(70)).rdd.getNumPartitions() == 70
+    assert spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(df.repartition(70)).rdd.getNumPartitions() == 70

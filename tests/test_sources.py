@@ -44,12 +44,12 @@ def test_listing(spark, tree):
     assert "0000000002-22-000001" not in picks
 
 
-@pytest.mark.parametrize("listed", [5000, 0])
-def test_documents(spark, tree, monkeypatch, listed):
-    monkeypatch.setattr(E, "MAX_LISTED_PATHS", listed)
+def test_documents(spark, tree):
     companies = spark.createDataFrame([("aapl", "Apple"), ("MSFT", "")], "ticker string, name string")
     got = {r.accession_number: r for r in filing_documents(spark, tree, companies).collect()}
-    assert set(got) == {"0000000001-22-000001", "0000000001-23-000009", "0000000002-23-000001-extra"}
+    assert {key for key, row in got.items() if row.text is not None} == {
+        "0000000001-22-000001", "0000000001-23-000009", "0000000002-23-000001-extra"}
+    assert all(got[key].file_name is None for key in got if got[key].text is None)
     assert got["0000000001-23-000009"].company == "Apple"
     assert "Risk upper." in got["0000000001-23-000009"].text
     assert got["0000000002-23-000001-extra"].text == "Item 7. MD\nbad � byte"
