@@ -163,3 +163,26 @@ def test_terms_of_every_script(spark):
     for row in Q.lexical_search(Q.term_index(c), r, 3).collect():
         got.setdefault(row.query_id, set()).add(row.chunk_id)
     assert got == {"1": {"a", "b"}, "2": {"a"}, "3": {"b"}, "4": {"c"}}
+
+
+def test_one_table_for_both_routes(spark):
+    from filigree.plans.ask import ask
+    from filigree.schemas import CHUNKS
+
+    meta = lambda t: (t, t, "10-K", "2023", "1", "Risk Factors", 0)
+    chunks = spark.createDataFrame([("c1", "supply risk grows", meta("A")), ("c2", "cloud sales", meta("B"))], CHUNKS).withColumn(
+        "ticker", F.col("metadata.ticker"))
+    rows = [("q1", 1, "supply risk", ["A"]), ("q2", 2, "supply of both", ["A", "B"]), ("q3", 3, "cloud of both", ["A", "B"]), ("q4", 4, "zzz", None)]
+    requests = spark.createDataFrame([(*r, r[0] == "q3") for r in rows],
+                                     "query_id string, conv_id long, query string, companies array<string>, no_trace boolean")
+    messages = spark.createDataFrame([], "conv_id long, turn long, role string, content string")
+    asked = ask(Q.term_index(chunks), requests, messages)
+    answers = spark.createDataFrame([(r[0], f"answer {r[0]}") for r in rows], "query_id string, answer string")
+    none = spark.createDataFrame(
+        [], "query_id string, step_no int, tool string, results array<struct<content:string,metadata:struct<company:string,ticker:string,"
+            "filing_type:string,date:string,accession_number:string,section:string,chunk_index:int>>>")
+    got = {r.query_id: r for r in asked.responses(answers, steps=none).collect()}
+    assert set(got) == {"q1", "q2", "q3", "q4"}
+    assert [c.ticker for c in got["q1"].citations] == ["A"]
+    assert not got["q2"].citations and {c.company for c in got["q3"].citations} == {"A", "B"}
+    assert {r.route for r in asked.prompts.filter("query_id in ('q2', 'q3')").collect()} == {"agent"}
