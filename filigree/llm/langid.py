@@ -190,10 +190,12 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
 
     each = max(1, sample // len(languages))
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select("id", "label").withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    chosen = known.select("id", "label").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
     held = F.col("place") % HELD == 0
     chosen = chosen.select("id", "label", held.alias("held"), F.xxhash64("id").alias("turn"))  # at most `sample` rows
     rows = known.select("id", "label", "text").join(F.broadcast(chosen), ["id", "label"])
+    # An id may be repeated any number of times: one of its texts is enough.
+    rows = rows.groupBy("turn", "label", "held").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         found = [counts(text) for text in strings(batch.column("text"))]

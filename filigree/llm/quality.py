@@ -104,7 +104,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").join(known, "id").distinct()
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     chosen = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("id", "label")
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # at most twice `sample` rows
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # `chosen` has at most twice `sample` rows
+    # An id may be repeated any number of times: one of its texts is enough.
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         found = [[float(x) for x in figures(text)] for text in utf8(batch.column("text"))]
