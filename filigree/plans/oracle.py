@@ -98,13 +98,14 @@ part("m", "select conv_id, turn, role, text as content from conversations")
 part("asked", f"""
     select conv_id || '-' || turn as query_id, conv_id, turn, content as query, {SELECTED} as companies
     from m where role = 'user'""", ["m"])
-part("last_q", f"""
-    select conv_id as query_id, conv_id, {SELECTED} as companies,
-        max(turn) filter (role = 'user') as place,
-        arg_max(content, turn) filter (role = 'user') as query,
-        coalesce(arg_max(content, turn) filter (role = 'assistant'), '') as answer
-    from m group by conv_id having count(*) filter (role = 'user') > 0""", ["m"])
-part("before_q", "select m.* from m join last_q using (conv_id) where turn < place", ["m", "last_q"])
+part("question", f"""
+    select conv_id * 100000 + turn as query_id, conv_id * 100000 + turn as conv_id, {SELECTED} as companies, conv_id as conv,
+        turn as place, content as query, answer
+    from (select u.conv_id, u.turn, u.content, coalesce(a.content, '') as answer
+          from m u left join m a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user')""", ["m"])
+part("before_question", f"""
+    select q.conv_id, m.turn, m.role, m.content from m join question q on m.conv_id = q.conv
+    where m.turn between q.place - {D.TURNS_BEFORE} and q.place - 1""", ["m", "question"])
 part("chunks", f"""
     select source || '_' || lang || '_' || doc_id || '_' || section || '_' || i as chunk_id, source as ticker,
         lang as filing_type, doc_id, section, i as chunk_index, substring(text, i * 900 + 1, 1000) as content
@@ -149,7 +150,7 @@ lexical_parts("free", "free", 3, ["free"])
 part("five", """
     select query_id, query, companies from asked union all select query_id || '-blank', '', companies from asked""", ["asked"])
 lexical_parts("five", "five", 5, ["five"])
-lexical_parts("lastq", "last_q", 3, ["last_q"])
+lexical_parts("question", "question", 3, ["question"])
 
 part("vec", f"""
     select vec_id, label, embedding::double[] as e, coalesce(text, '') as content, lang, 
@@ -430,7 +431,7 @@ def profile(messages: str, n: int) -> str:
 
 
 part("profile_3", profile("m", 3), ["m"])
-part("profile_before", profile("before_q", R.HISTORY_WINDOW), ["before_q"])
+part("profile_before", profile("before_question", R.HISTORY_WINDOW), ["before_question"])
 oracle("history_profile", f"""
     select conv_id, {line('topics')} as topics, {line('companies')} as companies, {line('sections')} as sections,
         {line('asked')} as asked from profile_3""", ["profile_3"])
@@ -487,19 +488,19 @@ _question_cases = "case t " + " ".join(f"when {lit(t)} then {lit(q)}" for t, q i
 _basis = ("case when len(hist) = 0 then case " + " ".join(
     f"when list_contains(topics, {lit(t)}) then {lit(b)}" for t, b in R.PEER_BASIS_BY_CONTENT)
     + f" else {lit(R.PEER_BASES[-1][1][0])} end else {choose('hist', R.PEER_BASES)} end")
-part("lastq_content", """
+part("question_content", """
     select query_id, string_agg(content, ' ' order by rank) as content,
         list_sort(list(distinct section)) as sections,
         list(ticker order by rank) as tickers
-    from lastq_hits join chunks using (chunk_id) group by query_id""", ["lastq_hits", "chunks"])
+    from question_hits join chunks using (chunk_id) group by query_id""", ["question_hits", "chunks"])
 part("sug_1", f"""
     select r.query_id, lower(query) as query, r.answer,
         coalesce(c.sections, []) as sections, coalesce(p.topics, []) as hist, coalesce(p.companies, []) as discussed,
         coalesce(p.sections, []) as discussed_sections, coalesce(p.asked, []) as asked,
         case when len(r.companies) > 0 then r.companies else {unique("coalesce(c.tickers, cast([] as varchar[]))")} end as targets,
         lower(r.answer || ' ' || coalesce(c.content, '')) as content
-    from last_q r left join lastq_content c using (query_id) left join profile_before p on p.conv_id = r.conv_id""",
-     ["last_q", "lastq_content", "profile_before"])
+    from question r left join question_content c using (query_id) left join profile_before p on p.conv_id = r.conv_id""",
+     ["question", "question_content", "profile_before"])
 part("sug_2", f"""
     select *, targets[1] as company, coalesce(targets[1], 'the company') as ref, {tag('content', D.TOPICS)} as topics,
         {", ".join(f"{has('query', words)} as is_{name}" for name, words in D.PATTERNS.items())}
@@ -610,10 +611,10 @@ def rag_prompt(query: str, context: str, lines: str) -> str:
 
 part("lines", f"""
     select conv_id, string_agg(role || ': ' || content || chr(10) || chr(10), '' order by turn) as lines
-    from (select * from before_q where role in ('user', 'assistant')
-          qualify row_number() over (partition by conv_id order by turn desc) <= {R.HISTORY_WINDOW}) group by 1""", ["before_q"])
-oracle("build_rag_prompt", f"select query_id, {rag_prompt('query', 'answer', 'lines')} as prompt from last_q left join lines using (conv_id)",
-       ["last_q", "lines"])
+    from (select * from before_question where role in ('user', 'assistant')
+          qualify row_number() over (partition by conv_id order by turn desc) <= {R.HISTORY_WINDOW}) group by 1""", ["before_question"])
+oracle("build_rag_prompt", f"select query_id, {rag_prompt('query', 'answer', 'lines')} as prompt from question left join lines using (conv_id)",
+       ["question", "lines"])
 oracle("build_compare_prompt", f"""
     select doc_id, case lang when 'de' then {lit(R.COMPARE_TOO_FEW)} else
         {lit(R.COMPARE_SYSTEM)} || chr(10) || chr(10) || {lit(R.COMPARE_INTRO)}
@@ -622,25 +623,25 @@ oracle("build_compare_prompt", f"""
     from documents""")
 oracle("build_summary_prompt", f"""
     select doc_id, {lit(R.SUMMARY_SYSTEM.format(words=150))} || chr(10) || chr(10) || text as prompt from documents""")
-part("lastq_cited", """
+part("question_cited", """
     select query_id, string_agg(c, '|' order by r) as citations from (
         select query_id, ticker || '/' || ticker || '/' || filing_type || ' (Unknown)/' || section as c, min(rank) as r
-        from lastq_hits join chunks using (chunk_id) group by all) group by query_id""", ["lastq_hits", "chunks"])
+        from question_hits join chunks using (chunk_id) group by all) group by query_id""", ["question_hits", "chunks"])
 oracle("ask", f"""
     select query_id, case when citations is null then {lit(R.NO_HITS_ANSWER)} else answer end as answer,
         coalesce(citations, '') as citations, case when citations is null then '' else {line('s')} end as suggested_queries
-    from last_q left join lastq_cited using (query_id) join suggested using (query_id)""", ["last_q", "lastq_cited", "suggested"])
-part("lastq_context", f"""
+    from question left join question_cited using (query_id) join suggested using (query_id)""", ["question", "question_cited", "suggested"])
+part("question_context", f"""
     select query_id, string_agg('Source: ' || filing_type || ' (' || ticker || ', Unknown), Section: ' || section
         || chr(10) || 'Content: ' || content, {lit(R.CONTEXT_SEPARATOR)} order by rank) as context
-    from lastq_hits join chunks using (chunk_id) group by 1""", ["lastq_hits", "chunks"])
+    from question_hits join chunks using (chunk_id) group by 1""", ["question_hits", "chunks"])
 _to_agent = f"(len(companies) > 1 or {has('lower(query)', R.ROUTING_KEYWORDS)})"
 oracle("ask_prompts", f"""
     select query_id, 'rag' as route, {rag_prompt('query', f"coalesce(context, {lit(R.NO_CONTEXT)})", 'lines')} as prompt
-    from last_q left join lastq_context using (query_id) left join lines using (conv_id) where not {_to_agent}
+    from question left join question_context using (query_id) left join lines using (conv_id) where not {_to_agent}
     union all
-    select query_id, 'agent', {agent_prompt('query', 'companies', R.AGENT_HINTS)} from last_q where {_to_agent}""",
-       ["last_q", "lastq_context", "lines"])
+    select query_id, 'agent', {agent_prompt('query', 'companies', R.AGENT_HINTS)} from question where {_to_agent}""",
+       ["question", "question_context", "lines"])
 
 # -- facts and texts -------------------------------------------------------
 

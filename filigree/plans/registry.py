@@ -605,7 +605,7 @@ def drop_asked_comparisons(spark, sf):
 
 
 def _suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    requests, before = D.last_questions(spark, sf)
+    requests, before = D.every_question(spark, sf)
     hits = Q.lexical_search(Q.term_index(D.chunks(spark, sf)), requests)
     return U.suggest_followups(requests, hits, before, D.RULES)
 
@@ -643,7 +643,7 @@ def build_agent_prompt_default(spark, sf):
 
 @query
 def build_rag_prompt(spark, sf):
-    requests, before = D.last_questions(spark, sf)
+    requests, before = D.every_question(spark, sf)
     joined = requests.join(history_lines(V.format_history(before)), "conv_id", "left")
     return joined.select("query_id", P.rag_prompt(F.col("query"), F.col("answer"), F.col("lines")).alias("prompt"))
 
@@ -663,14 +663,14 @@ def build_summary_prompt(spark, sf):
 @query
 def ask(spark, sf):
     """Questions to responses with the agent off: retrieve, cite, suggest, assemble."""
-    requests, before = D.last_questions(spark, sf)
+    requests, before = D.every_question(spark, sf)
     asked = ask_flow(Q.term_index(D.chunks(spark, sf)), requests.drop("answer"), before, agent=False)
     return _responses(asked.responses(requests.select("query_id", "answer"), D.RULES))
 
 
 @query
 def ask_prompts(spark, sf):
-    requests, before = D.last_questions(spark, sf)
+    requests, before = D.every_question(spark, sf)
     return ask_flow(Q.term_index(D.chunks(spark, sf)), requests, before).prompts
 
 

@@ -44,6 +44,8 @@ AGENT = R.AgentRules(
     topics=["revenue", *WORDS], history_topics=["growth", "tion", "that", "with", "risk"],
 )
 HINTS = [(["thble", "ein"], " [hint one]"), (["tion"], " [hint two]"), (["from", "avec"], " [hint three]")]
+# Turns that count as the history of a question, twice the window of the flows.
+TURNS_BEFORE = 20
 ANSWER_SECTIONS = ["That", "With", "From", "Avec", "Para"]
 
 
@@ -91,19 +93,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def last_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The last user message of every conversation with an answer, and the messages before it."""
+def every_question(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every user message as a request of its own, answered by the reply to it, and the messages of the turns before.
+
+    Requests and messages meet on conversation and turn, so a long conversation is no group of its own.
+    """
     every = messages(spark, sf_dir)
-    at = every.groupBy("conv_id").agg(
-        F.max(F.when(F.col("role") == "user", F.struct("turn", "content"))).alias("q"),
-        F.max(F.when(F.col("role") == "assistant", F.struct("turn", "content"))).alias("a"),
-    ).filter(F.col("q").isNotNull())
-    requests = at.select(
-        F.col("conv_id").alias("query_id"), "conv_id", F.col("q.content").alias("query"),
-        selection().alias("companies"), F.col("q.turn").alias("turn"), F.coalesce("a.content", F.lit("")).alias("answer"),
+    key = F.col("conv_id") * 100_000 + F.col("turn")
+    users = every.filter("role = 'user'")
+    replies = every.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("content").alias("reply"))
+    requests = users.join(replies, ["conv_id", "turn"], "left").select(
+        key.alias("query_id"), key.alias("conv_id"), F.col("content").alias("query"), selection().alias("companies"),
+        F.coalesce("reply", F.lit("")).alias("answer"),
     )
-    before = every.join(requests.select("conv_id", F.col("turn").alias("_at")), "conv_id")
-    return requests.drop("turn"), before.filter(F.col("turn") < F.col("_at")).drop("_at")
+    turns = F.explode(F.sequence(F.col("turn") - TURNS_BEFORE, F.col("turn") - 1))
+    before = users.select(key.alias("_key"), "conv_id", turns.alias("turn")).join(every, ["conv_id", "turn"])
+    return requests, before.select(F.col("_key").alias("conv_id"), "turn", "role", "content")
 
 
 def section_of() -> Column:
