@@ -49,6 +49,11 @@ def last_n_messages(messages: DataFrame, n: int = R.HISTORY_WINDOW) -> DataFrame
     return messages.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n).drop("_n")
 
 
+def compose_history(messages: DataFrame, n: int = R.HISTORY_WINDOW) -> DataFrame:
+    """What a request sends along: the last n messages that are not pending, without their selection notes."""
+    return strip_selection_tag(last_n_messages(drop_loading(messages), n))
+
+
 def _names(flags: dict[str, str]) -> Column:
     """Array of names whose flag column is set, in order."""
     return F.array_compact(F.array(*[F.when(F.col(flag), F.lit(name)) for flag, name in flags.items()]))

@@ -739,3 +739,9 @@ oracle("ingest", f"""
 oracle("ingest_report", """
     select ticker, accession_number, case when page_id % 5 = 0 then 'no document' when page_id % 7 = 0 then 'no section' else 'read' end as state,
         case when page_id % 5 > 0 and page_id % 7 > 0 then 2 else 0 end::bigint as n_chunks from tree""", ["tree"])
+
+oracle("compose_history", f"""
+    select conv_id, turn, role, {strip("content")} as content from (
+        select *, case conv_id % 3 when 0 then 0 when 1 then 27 else 33 end as added from m)
+    where (length(content) + added) % 7 <> 0
+    qualify row_number() over (partition by conv_id order by turn desc) <= 3""", ["m"])

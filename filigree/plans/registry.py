@@ -534,6 +534,13 @@ def last_n_messages(spark, sf):
     return recent.select("conv_id", "turn", "role", "content")
 
 
+@query
+def compose_history(spark, sf):
+    """Annotated messages of which some are pending, as the history of the next request."""
+    shown = V.annotate_user_message(D.messages(spark, sf).withColumn("companies", D.selection()))
+    return V.compose_history(shown.withColumn("is_loading", F.length("content") % 7 == 0), 3).select("conv_id", "turn", "role", "content")
+
+
 @query
 def history_profile(spark, sf):
     found = V.history_profile(D.messages(spark, sf), D.RULES, 3)
