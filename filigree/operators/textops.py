@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filigree.functions.text import strip_space
 from filigree.operators import terms as tf
@@ -76,22 +81,33 @@ def compare_texts(pairs: DataFrame, texts: str = "texts", focus: list[str] | Non
 def compare_weights(pairs: DataFrame, words: tf.Vocabulary, key: str = "pair_id", texts: str = "texts") -> DataFrame:
     """(key, other, cosine): tf-idf cosine of the first text of a row with each other one.
 
-    Terms meet within their row, so the work grows with the texts, not with pairs of rows. The
-    cosine with a text without terms is 0.
+    The term lists of a row's texts come together in one row, where the products are summed; only rare terms
+    are rows of their own, to fetch their idf. The cosine with a text without terms is 0. `key` is unique.
     """
     split = pairs.filter(F.size(texts) >= 2).select(key, F.posexplode(texts).alias("other", "text"))
-    rows = tf.with_idf(tf.counted_terms(split, [key, "other"], "text"), [key, "other"], words)
-    # One shuffle: all groupings below are within a row of `pairs`.
-    weighted = rows.select(key, "other", "term", (F.col("tf") * F.col("idf")).alias("w")).repartition(key)
-    def of_first(value: str, *within: str) -> Column:
-        return F.max(F.when(F.col("other") == 0, F.col(value))).over(Window.partitionBy(*within))
-
-    met = weighted.withColumn("w0", F.coalesce(of_first("w", key, "term"), F.lit(0.0)))
-    sums = met.groupBy(key, "other").agg(
-        F.sum(F.col("w") * F.col("w0")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("nn")
-    ).withColumn("n0", of_first("nn", key))
-    cosine = F.try_divide(F.col("dot"), F.sqrt("nn") * F.sqrt("n0"))
-    every = split.filter(F.col("other") > 0).select(key, "other")
-    return every.join(sums, [key, "other"], "left").select(
-        key, "other", F.round(F.coalesce(cosine, F.lit(0.0)), 4).alias("cosine")
-    )
+    rows = tf.weights(tf.counted_terms(split, [key, "other"], "text"), [key, "other"], words)
+    sides = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("other", "terms", "weights", "rare"))).alias("sides"))
+    schema = T.StructType([pairs.schema[key], T.StructField("other", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
+
+    def vector(side: dict) -> dict[str, float]:
+        values = dict(enumerate(side["weights"] or []))
+        values.update((cell["pos"], cell["weight"]) for cell in side["rare"] or [])
+        return {term: values[i] for i, term in enumerate(side["terms"] or [])}
+
+    def cosine(a: dict[str, float], b: dict[str, float]) -> float:
+        norms = math.sqrt(math.fsum(x * x for x in a.values())) * math.sqrt(math.fsum(x * x for x in b.values()))
+        return math.fsum(x * b[term] for term, x in a.items() if term in b) / norms if norms else 0.0
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                first, *others = batch.column("sides")[i].as_py()
+                own = vector(first)
+                out += [(i, side["other"], cosine(own, vector(side))) for side in others]
+            if out:
+                line, other, value = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(line)), pa.array(other, pa.int32()), pa.array(value, pa.float64())], schema.fieldNames())
+
+    return sides.mapInArrow(run, schema).withColumn("cosine", F.round("cosine", 4))
