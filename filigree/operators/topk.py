@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filigree.session import materialize, scratch_path
+from filigree.session import materialize, open_uri, scratch_path
 
 # Requests of a block, and values (vector elements or terms) of all of them.
 BLOCK_REQUESTS = 4096
@@ -193,7 +193,7 @@ def _stored(requests: DataFrame, values: str) -> tuple[DataFrame, str, int]:
 
 def _blocks(path: str, blocks: int) -> Iterator[pa.Table]:
     """The blocks of a folder one after the other; hashing may leave one empty."""
-    fs, place = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    fs, place = open_uri(path)
     for block in range(blocks):
         folder = f"{place}/block={block}"
         if fs.get_file_info(folder).type == pafs.FileType.Directory:

@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree import rules as R
 from filigree.functions import text as X
 from filigree.functions.chunking import chunk_rows
-from filigree.session import scratch_path
+from filigree.session import open_uri, scratch_path
 
 TOPICS = {
     "revenue": ["thble", "heitlich"],
@@ -208,7 +207,7 @@ def filing_tree(spark: SparkSession, sf_dir: str) -> str:
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(*(column.to_pylist() for column in batch.columns)):
-                fs, top = pafs.FileSystem.from_uri(root) if root.startswith("file:") or "://" in root else (pafs.LocalFileSystem(), root)
+                fs, top = open_uri(root)
                 fs.create_dir(f"{top}{path}".rpartition("/")[0], recursive=True)
                 with fs.open_output_stream(f"{top}{path}") as out:
                     out.write(data)

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the plans rely on. Sizes are left to AQE: shuffle partitions start high and are
@@ -63,3 +64,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system, and the path in it, for a path as Spark writes it."""
+    if uri.startswith("s3a:"):
+        uri = "s3" + uri[3:]
+    return pafs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (pafs.LocalFileSystem(), uri)

@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filigree.functions.text import valid_utf8
 from filigree.rules import FILINGS_PER_TYPE
+from filigree.session import open_uri
 
 TREE = r"/sec-edgar-filings/[^/]+/[^/]+/[^/]+/[^/]+$"
 ACCESSION = r"^\d{10}-\d{2}-\d{6}"
@@ -98,7 +98,7 @@ def read_documents(picks: DataFrame) -> DataFrame:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, uri in enumerate(batch.column(place).to_pylist()):
-                fs, path = pafs.FileSystem.from_uri(uri)
+                fs, path = open_uri(uri)
                 with fs.open_input_stream(path) as source:
                     content = source.read()
                 row = batch.slice(i, 1)
