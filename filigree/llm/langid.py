@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.text import arrow_map, id_and_text, strings
+from filigree.llm.text import arrow_map, id_and_text, labelled_sample, strings
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -189,8 +189,7 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
     idf = np.log((1 + documents) / (1 + frequency)) + 1
 
     each = max(1, sample // len(languages))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select("id", "label").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    chosen = labelled_sample(known.select("id", "label"), each)
     held = F.col("place") % HELD == 0
     chosen = chosen.select("id", "label", held.alias("held"), F.xxhash64("id").alias("turn"))  # at most `sample` rows
     rows = known.select("id", "label", "text").join(F.broadcast(chosen), ["id", "label"])

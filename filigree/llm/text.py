@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a text whose words are held at one time.
@@ -89,3 +89,19 @@ def shingle_hashes(data: bytes, size: int, seed: int, block: int = BLOCK_BYTES)
 def lower_ascii(data: bytes) -> bytes:
     """A-Z lower-cased, every other character untouched (`bytes.lower` knows ASCII only)."""
     return data.lower()
+
+
+def labelled_sample(rows: DataFrame, each: int) -> DataFrame:
+    """id, label and place (1 to `each`) of a bounded sample of rows (id, label), settled by a hash of the ids.
+
+    Labels are few. Each one's rows are first thinned by another hash to about twice what is wanted, in place,
+    so that choosing the last ones is small work for any label.
+    """
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return rows.select("id", "label", F.lit(1).alias("place")).limit(0)
+    shares = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, 2 * each / n + 100 / n))])
+    drawn = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < shares[F.col("label")] * (1 << 30)
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    thinned = rows.select("id", "label").where(drawn).distinct()
+    return thinned.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
