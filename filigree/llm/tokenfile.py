@@ -30,7 +30,7 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from filigree.llm.pretokens import IdCache, Splitter, split_patterns
 from filigree.llm.text import id_and_text, strings
-from filigree.session import scratch_path
+from filigree.session import open_uri, scratch_path
 
 SEQUENCE = 2048
 #: Sequences of a record batch.
@@ -83,11 +83,6 @@ def _encoder(definition: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder, given with or without a scheme."""
-    return pafs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (pafs.LocalFileSystem(), uri)
-
-
 class SequenceWriter:
     """Packs ids into sequences of fixed length and writes them in batches."""
 
@@ -132,7 +127,7 @@ class SequenceFile:
     """Random access to the sequences of one file; local files are mapped, not read."""
 
     def __init__(self, uri: str):
-        fs, path = open_folder(uri)
+        fs, path = open_uri(uri)
         local = isinstance(fs, pafs.LocalFileSystem)
         self.source = pa.memory_map(path) if local else fs.open_input_file(path)
         self.file = pa.ipc.open_file(self.source)
@@ -193,7 +188,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if writer is None:
-                fs, place = open_folder(path)
+                fs, place = open_uri(path)
                 fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 writer = SequenceWriter(fs, f"{place}.arrow", length, kind)
                 schema = pa.schema([("doc_id", batch.schema.field("id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -231,7 +226,7 @@ def read_token_files(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
-                fs, place = open_folder(f"{path}.docs.arrow")
+                fs, place = open_uri(f"{path}.docs.arrow")
                 sequences = SequenceFile(f"{path}.arrow")
                 with fs.open_input_file(place) as source:
                     index = pa.ipc.open_file(source)
