@@ -103,7 +103,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     )
     seeds = ruled.where("rule is not null").groupBy("host").agg(
         F.max((F.col("by_rule") == "allow").cast("int")).alias("trusted"), F.max((F.col("by_rule") == "block").cast("int")).alias("blocked"))
-    edges = host_edges(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")))
+    edges = materialize(host_edges(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))), "host-edges")
     blocked = spread(edges, seeds).where(F.col("distrust") > F.col("trust") * threshold).select(F.col("host").alias("bad"))
     return ruled.join(blocked, F.col("host") == F.col("bad"), "left").select(
         "id", "host", "path", "rule",
