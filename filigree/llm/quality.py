@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.text import arrow_map, id_and_text, utf8, word_blocks
+from filigree.llm.text import arrow_map, id_and_text, labelled_sample, utf8, word_blocks
 from filigree.session import materialize
 
 #: Labelled rows of each label the weights are learned from at most, and pairs drawn from them.
@@ -102,8 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """Learn from the labelled rows of `docs`; None without rows of both labels."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").join(known, "id").distinct()
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("id", "label")
+    chosen = labelled_sample(ids, sample).select("id", "label")
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # `chosen` has at most twice `sample` rows
     # An id may be repeated any number of times: one of its texts is enough.
     rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
