@@ -48,8 +48,8 @@ def decode_entities(text: Column) -> Column:
         rest = F.regexp_replace(piece, r"^&#[xX]?[0-9a-fA-F]{1,7};", "")
         return F.when(possible, F.concat(F.when(code == 0xA0, F.lit(" ")).otherwise(decoded), rest)).otherwise(piece)
 
-    numeric = F.array_join(F.transform(F.split(text, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), character), "")
-    out = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
+    # `text` stands here once: it is a long expression, which a condition would evaluate again.
+    out = F.array_join(F.transform(F.split(text, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), character), "")
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     return out
