@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,25 +90,28 @@ def compare_weights(pairs: DataFrame, words: tf.Vocabulary, key: str = "pair_id"
     sides = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("other", "terms", "weights", "rare"))).alias("sides"))
     schema = T.StructType([pairs.schema[key], T.StructField("other", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
 
-    def vector(side: dict) -> dict[str, float]:
-        values = dict(enumerate(side["weights"] or []))
-        values.update((cell["pos"], cell["weight"]) for cell in side["rare"] or [])
-        return {term: values[i] for i, term in enumerate(side["terms"] or [])}
-
-    def cosine(a: dict[str, float], b: dict[str, float]) -> float:
-        norms = math.sqrt(math.fsum(x * x for x in a.values())) * math.sqrt(math.fsum(x * x for x in b.values()))
-        return math.fsum(x * b[term] for term, x in a.items() if term in b) / norms if norms else 0.0
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                first, *others = batch.column("sides")[i].as_py()
-                own = vector(first)
-                out += [(i, side["other"], cosine(own, vector(side))) for side in others]
-            if out:
-                line, other, value = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(line)), pa.array(other, pa.int32()), pa.array(value, pa.float64())], schema.fieldNames())
+            lists = batch.column("sides")
+            other, terms, weights, rare = lists.flatten().flatten()
+            lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths)
+            values = weights.flatten().to_numpy(zero_copy_only=False).copy()
+            pos, weight = rare.flatten().flatten()
+            fetched = pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False)
+            values[np.repeat(ends - lengths, fetched) + pos.to_numpy()] = weight.to_numpy()
+            codes = terms.flatten().dictionary_encode().indices.to_numpy()
+            norms = np.sqrt(np.bincount(np.repeat(np.arange(len(lengths)), lengths), values * values, len(lengths)))
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            first = np.searchsorted(row, row)
+            asked = np.flatnonzero(first != np.arange(len(row)))
+            cosines = np.zeros(len(asked))
+            for i, side in enumerate(asked.tolist()):
+                a, b = (slice(ends[s] - lengths[s], ends[s]) for s in (first[side], side))
+                _, x, y = np.intersect1d(codes[a], codes[b], assume_unique=True, return_indices=True)
+                norm = norms[first[side]] * norms[side]
+                cosines[i] = values[a][x] @ values[b][y] / norm if norm else 0.0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row[asked])), other.take(pa.array(asked)), pa.array(cosines)], schema.fieldNames())
 
     return sides.mapInArrow(run, schema).withColumn("cosine", F.round("cosine", 4))
