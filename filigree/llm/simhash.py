@@ -17,14 +17,14 @@ the input are not read. Long texts are hashed a block of words at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import DataType, LongType
 
 from filigree.llm.components import connected_components
 from filigree.llm.text import arrow_map, id_and_text, lower_ascii, shingle_hashes, utf8
@@ -221,6 +221,16 @@ def drop_near_duplicates(
     both, any one.
     """
     marked = materialize(near_groups(docs, id_col, text_col, words, radius), "near-groups")
+
+    def signed(text: bytes) -> int:
+        found = fingerprint(text, words)
+        return found - (1 << BITS) if found >> (BITS - 1) else found
+
+    return keep_leaders(docs, marked, id_col, text_col, signed, LongType())
+
+
+def keep_leaders(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, print_of: Callable, kind: DataType) -> DataFrame:
+    """`docs` with one row of every root of `marked` (id, fp, root, component_id); `print_of` gives the fp of a text."""
     leaders = marked.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.first("id").alias("id"), F.min("fp").alias("fp"))
     repeated = marked.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or id is null").select(F.col("id").alias("other"))
@@ -235,19 +245,21 @@ def drop_near_duplicates(
     if shared.take(1):
         ids = shared.select("leader").distinct()
         asked = keyed.join(ids, F.col("key").eqNullSafe(F.col("leader")), "left_semi").select("row", "key", F.col("row")[text_col].alias("text"))
-        printed = _with_prints(asked, words)
+        printed = _with_prints(asked, print_of, kind)
         chosen = printed.join(shared, F.col("key").eqNullSafe(F.col("leader")) & (F.col("fp") == F.col("leader_fp")), "left_semi")
         left = left.union(chosen.groupBy("key", "fp").agg(F.first("row").alias("row")).select("row"))
     return left.select("row.*")
 
 
-def _with_prints(rows: DataFrame, words: int) -> DataFrame:
+def _with_prints(rows: DataFrame, print_of: Callable, kind: DataType) -> DataFrame:
     """Rows (row, key, text) with their fingerprint in place of the text."""
-    schema = rows.select("row", "key").schema.add("fp", LongType())
+    schema = rows.select("row", "key").schema.add("fp", kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(text, words) for text in utf8(batch.column(2))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["row", "key", "fp"])
+            if not batch.num_rows:
+                continue
+            found = pa.array([print_of(text) for text in utf8(batch.column(2))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["row", "key", "fp"])
 
     return rows.mapInArrow(run, schema)
