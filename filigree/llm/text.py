@@ -59,7 +59,7 @@ def word_blocks(data: bytes, carry: int, block: int = BLOCK_BYTES) -> Iterator[l
             end = gap.end() if gap else end
         words = kept + data[at:end].split()
         yield words
-        kept = words[len(words) - carry:] if carry else []
+        kept = words[max(0, len(words) - carry):] if carry else []
         at = end
 
 
