@@ -6,7 +6,9 @@ the other way, from a blocked host to those that link to it. A host with more di
 times its trust is blocked, every other is allowed. A host without outgoing links passes nothing on.
 
 Page texts are read once, for the host edges; edges are counted per pair of hosts before they are joined, and a
-round moves one row per host and edge. Rounds are a fixed number; lineage is cut by a stored table.
+round moves one row per host and edge. `judge` goes on until the hosts that have a rank stay the same and a round changes all ranks
+by `TOLERANCE` in total or less, so a host at any distance has its share; `ROUNDS` holds for `spread` without a tolerance and for the SQL. Lineage
+is cut by stored tables.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule, and is allowed;
 a null page has no links; repeated rows and null ids each give a row; an empty table gives an empty result; other columns
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from filigree.session import materialize
 
 DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 1.0
+#: Total change of all ranks in a round at which they count as settled, as a share of what the seeds start with.
+TOLERANCE = 1e-9
 #: Rounds between two stored tables.
 STORED_EVERY = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,8 +73,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.count(F.lit(1)).alias("links"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """host, trust and distrust. `seeds`: host, trusted and blocked (0 or 1)."""
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float | None = None) -> DataFrame:
+    """host, trust and distrust after `ROUNDS` rounds, or settled to a tolerance. `seeds`: host, trusted and blocked (0 or 1)."""
     both = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("giver"), F.col("target").alias("taker"), "links").union(
         edges.select(F.lit("distrust"), "target", "source", "links")
     )
@@ -81,18 +85,34 @@ def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         seeds.where("blocked = 1").select(F.lit("distrust"), "host")
     ).withColumn("rank", F.lit(1 - DAMPING))
     start = materialize(start, "seeds")
-    ranks = start
-    for number in range(ROUNDS if shares.take(1) else 0):
+    ranks, number, settled, hosts = start, 0, not shares.take(1), -1
+    while not settled:
+        before = ranks
         givers = ranks.withColumnRenamed("host", "giver")
         passed = givers.join(shares, ["kind", "giver"]).select(
             "kind", F.col("taker").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
         ranks = start.union(passed).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if number % STORED_EVERY == STORED_EVERY - 1:
+        number += 1
+        if number % STORED_EVERY == 0:
             ranks = materialize(ranks, "host-ranks")
+        if tolerance is None:
+            settled = number == ROUNDS
+        elif number % STORED_EVERY == 0:
+            change, n, mass = _change(before, ranks, start)
+            settled, hosts = n == hosts and change <= tolerance * mass, n
     total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return ranks.groupBy("host").agg(total("trust"), total("distrust"))
 
 
+def _change(before: DataFrame, after: DataFrame, start: DataFrame) -> tuple[float, int, float]:
+    """Total change of the ranks in a round, how many ranks there are, and what the seeds start with."""
+    both = before.select("kind", "host", (-F.col("rank")).alias("rank"), F.lit(0).alias("now")).union(
+        after.select("kind", "host", "rank", F.lit(1)))
+    moved = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("now").alias("now"))
+    change, n = moved.agg(F.sum(F.abs("rank")), F.sum("now")).first()
+    return change or 0.0, n or 0, start.agg(F.sum("rank")).first()[0] or 0.0
+
+
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
           threshold: float = THRESHOLD) -> DataFrame:
     """One row per page: id, host, path, rule (null if none fits), verdict."""
@@ -104,7 +124,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     seeds = ruled.where("rule is not null").groupBy("host").agg(
         F.max((F.col("by_rule") == "allow").cast("int")).alias("trusted"), F.max((F.col("by_rule") == "block").cast("int")).alias("blocked"))
     edges = materialize(host_edges(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))), "host-edges")
-    blocked = spread(edges, seeds).where(F.col("distrust") > F.col("trust") * threshold).select(F.col("host").alias("bad"))
+    blocked = spread(edges, seeds, TOLERANCE).where(F.col("distrust") > F.col("trust") * threshold).select(F.col("host").alias("bad"))
     return ruled.join(blocked, F.col("host") == F.col("bad"), "left").select(
         "id", "host", "path", "rule",
         F.coalesce("by_rule", F.when(F.col("bad").isNotNull(), "block").otherwise("allow")).alias("verdict"),
@@ -112,7 +132,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
 
 
 def oracle_sql(rules: list[Rule]) -> str:
-    """The same result in DuckDB SQL over `pages`, with the rounds written out."""
+    """The same result in DuckDB SQL over `pages`, with `ROUNDS` rounds written out; links that reach further than that are not in it."""
     quoted = lambda text: "'" + text.replace("'", "''") + "'"
     host = lambda url: f"coalesce(translate(regexp_extract({url}, {quoted(PARTS)}, 1), '{UPPER}', '{LOWER}'), '')"
     cases = lambda value: "case " + " ".join(
