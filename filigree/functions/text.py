@@ -158,25 +158,6 @@ def html_to_text(html: Column) -> Column:
     return strip_space(out)
 
 
-HEADING = r"(?im)^[ \t]*item[ \t]+(\d+[a-c]?)\b[^\n]*"
-
-
-def section_segments(text: Column) -> Column:
-    """The text cut in front of every item heading, in one pass for all items. Wide blanks count as plain ones."""
-    return F.split(plain_blanks(text), r"(?im)(?=^[ \t]*item[ \t]+\d+[a-c]?\b)")
-
-
-def section_body(segments: Column, item: str) -> Column:
-    """Longest body under a heading of the item, so that a table of contents loses.
-
-    Null when the item is missing or all its bodies are blank.
-    """
-    own = F.filter(segments, lambda s: F.upper(F.regexp_extract(s, HEADING, 1)) == item.upper())
-    bodies = F.transform(own, lambda s: F.regexp_replace(s, r"(?i)\A[ \t]*item[ \t]+\d+[a-c]?\b[^\n]*\n?", ""))
-    ranked = F.transform(bodies, lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b")))
-    return F.nullif(strip_space(F.array_max(ranked)["b"]), F.lit(""))
-
-
 def valid_utf8(binary: Column) -> Column:
     """Text of file bytes; bytes that are not UTF-8 become the replacement character."""
     return F.make_valid_utf8(binary.cast("string"))

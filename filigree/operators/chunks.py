@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree import rules as R
+from filigree.functions import sections as S
 from filigree.functions import text as X
 from filigree.functions.chunking import chunk_rows
 
@@ -15,18 +16,18 @@ DOCUMENT_KEY = ["ticker", "filing_type", "accession_number", "company", "filing_
 def extract_sections(documents: DataFrame, targets: dict[str, str] | None = R.TARGET_SECTIONS) -> DataFrame:
     """(other columns, section, text): the target items of each document, blank ones dropped.
 
-    Without targets the whole text is one section.
+    Items are found by the sequence of headings, as `filigree.functions.sections` states. Without targets the whole
+    text is one section.
     """
     others = [c for c in documents.columns if c != "text"]
     if not targets:
         return documents.select(*others, F.lit(R.WHOLE_DOCUMENT).alias("section"), "text")
-    cut = documents.select(*others, X.section_segments(F.col("text")).alias("_s"))
-    found = F.array(*[
-        F.struct(F.lit(name).alias("section"), X.section_body(F.col("_s"), item).alias("text"))
-        for item, name in targets.items()
-    ])
-    rows = cut.select(*others, F.inline(found))
-    return rows.filter(F.col("text").isNotNull())
+    cut = documents.select(*others, S.candidates(F.col("text")).alias("_pieces"))
+    chained = cut.select("*", S.heading_chain(F.col("_pieces")).alias("_chain"))
+    bodies = chained.select(*others, F.explode(S.section_bodies(F.col("_pieces"), F.col("_chain"))).alias("_s"))
+    names = F.create_map(*[F.lit(x) for item, name in targets.items() for x in (item.upper(), name)])
+    rows = bodies.select(*others, names[F.col("_s.item")].alias("section"), F.col("_s.body").alias("text"))
+    return rows.filter(F.col("section").isNotNull() & (F.col("text") != ""))
 
 
 def process_filing(

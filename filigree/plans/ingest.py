@@ -45,7 +45,7 @@ def ingest(
     Returns a report: every filing with `state` (`no document`, `no section` or `read`) and its number of chunks.
     """
     documents = materialize(filing_documents(spark, root, companies, filing_types, limit), "documents")
-    chunks = process_filing(documents.filter(F.col("text").isNotNull()), targets)
+    chunks = materialize(process_filing(documents.filter(F.col("text").isNotNull()), targets), "chunks")
     write_chunks(embed(chunks, embedder) if embedder else chunks, collection)
     keys = [F.col(f"metadata.{name}").alias(name) for name in FILING_KEY]
     counts = chunks.select(*keys).groupBy(*FILING_KEY).agg(F.count("*").alias("n_chunks"))

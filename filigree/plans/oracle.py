@@ -98,14 +98,18 @@ part("m", "select conv_id, turn, role, text as content from conversations")
 part("asked", f"""
     select conv_id || '-' || turn as query_id, conv_id, turn, content as query, {SELECTED} as companies
     from m where role = 'user'""", ["m"])
+part("numbered", """
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, content) - 1 as pos
+    from m where role in ('user', 'assistant') and content is not null""", ["m"])
 part("question", f"""
-    select conv_id * 100000 + turn as query_id, conv_id * 100000 + turn as conv_id, {SELECTED} as companies, conv_id as conv,
-        turn as place, content as query, answer
-    from (select u.conv_id, u.turn, u.content, coalesce(a.content, '') as answer
-          from m u left join m a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user')""", ["m"])
-part("before_question", f"""
-    select q.conv_id, m.turn, m.role, m.content from m join question q on m.conv_id = q.conv
-    where m.turn between q.place - {D.TURNS_BEFORE} and q.place - 1""", ["m", "question"])
+    select conv_id || '-' || pos as query_id, conv_id || '-' || pos as conv_id, {SELECTED} as companies, conv_id as conv,
+        pos as place, content as query, answer
+    from (select u.conv_id, u.pos, u.content, coalesce(a.content, '') as answer
+          from numbered u left join numbered a on a.conv_id = u.conv_id and a.pos = u.pos + 1 and a.role = 'assistant' where u.role = 'user')""",
+     ["numbered"])
+part("before_question", """
+    select q.conv_id, m.pos as turn, m.role, m.content from numbered m join question q on m.conv_id = q.conv and m.pos < q.place""",
+     ["numbered", "question"])
 part("chunks", f"""
     select source || '_' || lang || '_' || doc_id || '_' || section || '_' || i as chunk_id, source as ticker,
         lang as filing_type, doc_id, section, i as chunk_index, substring(text, i * 900 + 1, 1000) as content
@@ -310,9 +314,12 @@ oracle("strip_selection_tag", rf"""
 # -- retrieval -------------------------------------------------------------
 
 oracle("lexical_search", "select query_id, rank::int as rank, score, chunk_id from free_hits", ["free_hits"])
+oracle("stored_search", "select query_id, rank::int as rank, score, chunk_id from free_hits", ["free_hits"])
 oracle("retrieve_sections", "select query_id, rank::int as rank, score, chunk_id from five_hits", ["five_hits"])
 oracle("knn_search", "select query_id, rank::int as rank, score, chunk_id from near where rank <= 3", ["near"])
 oracle("knn_filtered", "select query_id, rank::int as rank, score, chunk_id, ticker from near_own where rank <= 3", ["near_own"])
+oracle("knn_clustered", "select query_id, rank::int as rank, score, chunk_id from near where rank <= 3", ["near"])
+oracle("knn_clustered_filtered", "select query_id, rank::int as rank, score, chunk_id from near_own where rank <= 3", ["near_own"])
 
 # -- context and citations -------------------------------------------------
 
@@ -403,6 +410,11 @@ oracle("tag_mentions", f"""
 oracle("tag_agent_topics", f"select doc_id, {line(word_tag('lower(text)', D.AGENT.topics))} as topics from documents")
 oracle("match_rules", f"select doc_id, unnest({tag('lower(text)', D.TOPICS)}) as rule from documents")
 
+oracle("match_dictionary", """
+    select distinct d.doc_id, w.rule from documents d join (
+        select distinct 'r' || doc_id % 40 as rule, lower(substring(text, 3 + doc_id % 7, 2 + doc_id % 11)) as word from documents) w
+    on trim(w.word, ' ') <> '' and contains(lower(d.text), w.word)""")
+
 # -- conversations ---------------------------------------------------------
 
 oracle("clean_history", """
@@ -745,3 +757,53 @@ oracle("compose_history", f"""
         select *, case conv_id % 3 when 0 then 0 when 1 then 27 else 33 end as added from m)
     where (length(content) + added) % 7 <> 0
     qualify row_number() over (partition by conv_id order by turn desc) <= 3""", ["m"])
+
+# -- sections by sequence and facts of statements ---------------------------
+
+_ends = "chr(10) || 'Item 7 of this report, and' || chr(10) || 'Item 8, which follows' || chr(10) || 'end of risks'"
+oracle("extract_sections_by_sequence", f"""
+    select doc_id, section, text from (
+        select doc_id, {lit(R.TARGET_SECTIONS["1A"])} as section, {strip(f"text || {_ends}")} as text from documents
+        union all
+        select doc_id, {lit(R.TARGET_SECTIONS["7"])},
+            {strip("lang || ' ' || text || chr(10) || 'Item 1A. Risk Factors' || chr(10) || 'as above'")} from documents where doc_id % 3 > 0)
+    where text <> ''""")
+part("statement", """
+    select page_id as n, 'P' || page_id % 20 as ticker,
+        case when page_id % 3 > 0 then '2024-0' || ((page_id // 20) % 9 + 1) || '-01' else '' end as filed,
+        unnest(case page_id % 4
+            when 0 then [
+                {'r': 1, 'c': 1, 'p': 'Revenue', 'y': 2023, 'v': (page_id * 1000 + 37) * 1000.0::decimal(18,2)}, {'r': 1, 'c': 2, 'p': 'Revenue', 'y': 2022, 'v': (page_id * 900 + 11) * 1000.0},
+                {'r': 2, 'c': 1, 'p': 'Net income (loss)', 'y': 2023, 'v': (page_id * 10 + 5) * -1000.0}, {'r': 2, 'c': 2, 'p': 'Net income (loss)', 'y': 2022, 'v': (page_id * 7 + 3) * 1000.0},
+                {'r': 3, 'c': 1, 'p': 'Earnings per share', 'y': 2023, 'v': 1.25}, {'r': 3, 'c': 2, 'p': 'Earnings per share', 'y': 2022, 'v': -0.5},
+                {'r': 4, 'c': 1, 'p': 'Margin', 'y': 2023, 'v': 12.5}]
+            when 1 then [
+                {'r': 2, 'c': 1, 'p': 'Revenue', 'y': 2023, 'v': (page_id * 1000 + 37) * 1000000.0}, {'r': 2, 'c': 4, 'p': 'Revenue', 'y': 2022, 'v': (page_id * 900 + 11) * 1000000.0},
+                {'r': 3, 'c': 1, 'p': 'Net income (loss)', 'y': 2023, 'v': (page_id * 10 + 5) * -1000000.0}, {'r': 3, 'c': 4, 'p': 'Net income (loss)', 'y': 2022, 'v': (page_id * 7 + 3) * 1000000.0}]
+            when 2 then [
+                {'r': 3, 'c': 1, 'p': 'Net sales / Products', 'y': 2023, 'v': page_id * 1000000000.0 + 500000000}, {'r': 3, 'c': 2, 'p': 'Net sales / Products', 'y': 2022, 'v': 2000000000.0},
+                {'r': 4, 'c': 1, 'p': 'Net sales / Services', 'y': 2023, 'v': 3000000000.0}, {'r': 4, 'c': 2, 'p': 'Net sales / Services', 'y': 2022, 'v': 4000000000.0},
+                {'r': 5, 'c': 1, 'p': 'Net sales / Total net sales', 'y': 2023, 'v': 3000000000.0}, {'r': 5, 'c': 2, 'p': 'Net sales / Total net sales', 'y': 2022, 'v': 6000000000.0},
+                {'r': 6, 'c': 1, 'p': 'Employees (in thousands)', 'y': 2023, 'v': (page_id * 7 + 3) * 1000.0}, {'r': 6, 'c': 2, 'p': 'Employees (in thousands)', 'y': 2022, 'v': 8000.0}]
+            else [
+                {'r': 1, 'c': 1, 'p': 'Revenue', 'y': 2023, 'v': page_id * 1000.0 + 37}, {'r': 2, 'c': 1, 'p': 'Net income (loss)', 'y': 2023, 'v': page_id * -10.0 - 5},
+                {'r': 3, 'c': 1, 'p': 'Revenue', 'y': 2023, 'v': 7.0}] end) as f
+    from pages where contains(html, '</article>')""")
+oracle("table_facts", """
+    select n as page_id, f.r::int as row_no, f.c::int as column_no, f.p as data_point, f.y::int as year, f.v::decimal(18,2) as value
+    from statement""", ["statement"])
+part("extracted", """
+    select ticker, f.p as data_point, f.y::int as year, f.v::decimal(18,2) as value from statement
+    qualify row_number() over (partition by ticker, f.p, f.y order by filed desc, n desc, f.r, f.c) = 1""", ["statement"])
+oracle("extract_facts", "select * from extracted", ["extracted"])
+oracle("extracted_series", """
+    select ticker, data_point, string_agg(year || '=' || value, '|' order by year) as series from extracted
+    where data_point in ('Revenue', 'Net income (loss)', 'Net sales / Products') group by all""", ["extracted"])
+part("extracted_last", """
+    select *, lag(year) over w as py, lag(value::double) over w as pv from extracted
+    window w as (partition by ticker, data_point order by year) qualify row_number() over (partition by ticker, data_point order by year desc) = 1""", ["extracted"])
+oracle("extracted_trends", """
+    select ticker, data_point, case when py is null then 'Need at least two data points to calculate trend.'
+        when pv = 0 then 'Could not calculate trend: division by zero'
+        else 'Placeholder: ' || data_point || ' changed by ' || printf('%.2f', round((value::double - pv) / pv * 100, 2)) || '% between '
+            || py || ' and ' || year || '.' end as message from extracted_last""", ["extracted_last"])

@@ -17,13 +17,17 @@ from filigree.functions import sets as S
 from filigree.functions import text as X
 from filigree.functions.chunking import chunk_rows
 from filigree.functions.matching import word_tags
+from filigree.operators import cells as M
 from filigree.operators import chunks as C
 from filigree.operators import context as K
 from filigree.operators import conversation as V
+from filigree.operators import dictionary as J
 from filigree.operators import facts as N
+from filigree.operators import postings as Z
 from filigree.operators import retrieval as Q
 from filigree.operators import routing as G
 from filigree.operators import suggestions as U
+from filigree.operators import tables as T
 from filigree.operators import terms as W
 from filigree.operators import textops as O
 from filigree.plans import ingest as Y
@@ -232,6 +236,18 @@ def extract_sections(spark, sf):
     return C.extract_sections(filings)
 
 
+@query
+def extract_sections_by_sequence(spark, sf):
+    """Filings with a contents page, references at the start of lines, headings that repeat, and one without item 7."""
+    text = F.col("text")
+    contents = F.lit("Contents\nItem 1A. Risk Factors ..... 3\nItem 7. Discussion\t21\nItem 8 Statements     40\n\nItem 1. Business\nwe sell\n")
+    risks = F.concat(F.lit("ITEM 1A.\n"), text, F.lit("\nItem 7 of this report, and\nItem 8, which follows\nend of risks\nItem 1B. None\n-\n"))
+    talk = F.concat(F.lit("Item 7. Discussion\n"), F.col("lang"), F.lit(" "), text, F.lit("\nItem 1A. Risk Factors\nas above\n"))
+    rest = F.lit("Item 7A. Market risk\nrates\nItem 8. Statements\nsee\nItem 7. Discussion\nfor more")
+    body = F.concat(contents, risks, F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(talk), rest)
+    return C.extract_sections(D.documents(spark, sf).select("doc_id", body.alias("text")))
+
+
 @query
 def chunk_text(spark, sf):
     return chunk_rows(D.table(spark, sf, "documents").select("doc_id", "text"))
@@ -321,6 +337,19 @@ def lexical_search(spark, sf):
     return Q.lexical_search(Q.term_index(D.chunks(spark, sf)), requests).select("query_id", "rank", "score", "chunk_id")
 
 
+@query
+def stored_search(spark, sf):
+    """The hits of `lexical_search` from a stored index, which is extended once."""
+    chunks, path = D.chunks(spark, sf), scratch_path(spark, "terms")
+    late = F.xxhash64("chunk_id") % 3 == 0
+    Z.add_terms(chunks.where(~late), path)
+    Z.refresh(spark, path)
+    Z.add_terms(chunks.where(late), path)
+    Z.refresh(spark, path)
+    requests = D.questions(spark, sf).withColumn("companies", F.lit(None).cast("array<string>"))
+    return Z.stored_search(Z.open_terms(spark, path), requests, chunks).select("query_id", "rank", "score", "chunk_id")
+
+
 @query
 def retrieve_sections(spark, sf):
     asked = D.questions(spark, sf)
@@ -356,6 +385,23 @@ def knn_filtered(spark, sf):
     return _neighbours(spark, sf, 3, True).select("query_id", "rank", "score", "chunk_id", "metadata.ticker")
 
 
+def _clustered(spark: SparkSession, sf: str, filtered: bool) -> DataFrame:
+    vectors = D.vectors(spark, sf)
+    index = M.build_cells(vectors, scratch_path(spark, "cells"))
+    return M.knn_clustered(index, D.vector_requests(spark, sf, filtered), vectors).select("query_id", "rank", "score", "chunk_id")
+
+
+@query
+def knn_clustered(spark, sf):
+    """The hits of `knn_search` from the index of cells."""
+    return _clustered(spark, sf, False)
+
+
+@query
+def knn_clustered_filtered(spark, sf):
+    return _clustered(spark, sf, True)
+
+
 # -- context and citations -------------------------------------------------
 
 
@@ -497,6 +543,15 @@ def match_rules(spark, sf):
     return G.match_rules(D.table(spark, sf, "documents").select("doc_id", "text"), dictionary=D.TOPICS)
 
 
+@query
+def match_dictionary(spark, sf):
+    """Keywords cut from every document, as a table, against all documents."""
+    cut = F.concat(F.lit("r"), (F.col("doc_id") % 40).cast("string"))
+    word = F.substr("text", F.lit(3) + F.col("doc_id") % 7, (F.lit(2) + F.col("doc_id") % 11).cast("int"))
+    documents = D.documents(spark, sf).select("doc_id", "text")
+    return J.match_dictionary(documents, documents.select(cut.alias("rule"), word.alias("word")))
+
+
 # -- conversations ---------------------------------------------------------
 
 
@@ -710,6 +765,32 @@ def trend_text(spark, sf):
     return N.trend_text(N.yoy_trend(D.facts(spark, sf)))
 
 
+@query
+def table_facts(spark, sf):
+    """Every fact of the statements written into the pages, with its place."""
+    found = T.table_facts(D.statement_pages(spark, sf).select("page_id", "html"))
+    return found.select("page_id", "row_no", "column_no", "data_point", "year", "value")
+
+
+@query
+def extract_facts(spark, sf):
+    return T.extract_facts(D.statement_pages(spark, sf))
+
+
+@query
+def extracted_series(spark, sf):
+    """Facts from the pages' statements as series."""
+    points = N.pivot_facts(T.extract_facts(D.statement_pages(spark, sf)), ["Revenue", "Net income (loss)", "Net sales / Products"])
+    series = F.transform("series", lambda p: F.concat(p["year"].cast("string"), F.lit("="), p["value"].cast("string")))
+    return points.select("ticker", "data_point", line(series).alias("series"))
+
+
+@query
+def extracted_trends(spark, sf):
+    """Yearly change of the facts from the pages' statements, in words."""
+    return N.trend_text(N.yoy_trend(T.extract_facts(D.statement_pages(spark, sf))))
+
+
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its successor; the last one has an empty text beside it."""
     documents = D.documents(spark, sf).select("doc_id", "text")

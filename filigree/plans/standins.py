@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from filigree import rules as R
 from filigree.functions import text as X
 from filigree.functions.chunking import chunk_rows
-from filigree.session import open_uri, scratch_path
+from filigree.operators.conversation import clean_history, format_history
+from filigree.operators.ranks import numbered
+from filigree.session import materialize, open_uri, scratch_path
 
 TOPICS = {
     "revenue": ["thble", "heitlich"],
@@ -43,8 +45,6 @@ AGENT = R.AgentRules(
     topics=["revenue", *WORDS], history_topics=["growth", "tion", "that", "with", "risk"],
 )
 HINTS = [(["thble", "ein"], " [hint one]"), (["tion"], " [hint two]"), (["from", "avec"], " [hint three]")]
-# Turns that count as the history of a question, twice the window of the flows.
-TURNS_BEFORE = 20
 ANSWER_SECTIONS = ["That", "With", "From", "Avec", "Para"]
 
 
@@ -93,21 +93,23 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def every_question(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every user message as a request of its own, answered by the reply to it, and the messages of the turns before.
+    """Every user message as a request of its own, answered by the message after it if that is a reply, and its history.
 
-    Requests and messages meet on conversation and turn, so a long conversation is no group of its own.
+    The history is what a client sends along: the last messages before the question, by their place in the conversation.
+    Requests and messages meet on conversation and place, so a long conversation is no group of its own.
     """
-    every = messages(spark, sf_dir)
-    key = F.col("conv_id") * 100_000 + F.col("turn")
+    every = format_history(clean_history(messages(spark, sf_dir)))
+    every = materialize(numbered(every, "conv_id", [F.col("turn").asc_nulls_first(), F.col("role"), F.col("content")]), "numbered")
+    key = F.concat_ws("-", "conv_id", "pos")
     users = every.filter("role = 'user'")
-    replies = every.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("content").alias("reply"))
-    requests = users.join(replies, ["conv_id", "turn"], "left").select(
+    replies = every.filter("role = 'assistant'").select("conv_id", (F.col("pos") - 1).alias("pos"), F.col("content").alias("reply"))
+    requests = users.join(replies, ["conv_id", "pos"], "left").select(
         key.alias("query_id"), key.alias("conv_id"), F.col("content").alias("query"), selection().alias("companies"),
         F.coalesce("reply", F.lit("")).alias("answer"),
     )
-    turns = F.explode(F.sequence(F.col("turn") - TURNS_BEFORE, F.col("turn") - 1))
-    before = users.select(key.alias("_key"), "conv_id", turns.alias("turn")).join(every, ["conv_id", "turn"])
-    return requests, before.select(F.col("_key").alias("conv_id"), "turn", "role", "content")
+    places = F.explode(F.sequence(F.greatest(F.col("pos") - R.HISTORY_WINDOW, F.lit(0)), F.col("pos") - 1))
+    before = users.filter("pos > 0").select(key.alias("_key"), "conv_id", places.alias("pos")).join(every, ["conv_id", "pos"])
+    return requests, before.select(F.col("_key").alias("conv_id"), F.col("pos").alias("turn"), "role", "content")
 
 
 def section_of() -> Column:
@@ -221,3 +223,46 @@ def filers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The companies of `filing_tree`."""
     ticker = F.concat(F.lit("P"), (F.col("page_id") % 20).cast("string"))
     return table(spark, sf_dir, "pages").select(ticker.alias("ticker"), F.concat(F.lit("Name "), ticker).alias("name")).distinct()
+
+
+def _amount(value: Column) -> Column:
+    """A whole number as statements print it: thousands apart, negative ones in brackets."""
+    shown = F.format_number(F.abs(value), 0)
+    return F.when(value < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
+
+
+def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as filings with a statement of one of four layouts in their article, with numbers that follow from the page."""
+    n = F.col("page_id")
+    sales, before, gain, loss = n * 1000 + 37, n * 900 + 11, n * 7 + 3, -(n * 10 + 5)
+
+    def text(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    plain = text(
+        "<p>Selected data (in thousands, except per share data)</p><table border=1><tr><th></th><th>2023</th><th>2022</th></tr>",
+        "<tr><td>Revenue</td><td>$ ", _amount(sales), "</td><td>$ ", _amount(before), "</td></tr>",
+        "<tr><td>Net income (loss)</td><td>", _amount(loss), "</td><td>", _amount(gain), "</td></tr>",
+        "<tr><td>Earnings per share</td><td>1.25</td><td>(0.50)</td></tr><tr><td>Margin</td><td>12.5%</td><td>&mdash;</td></tr></table>")
+    split = text(
+        "<TABLE class='f'>\n<TR>\n<TD>(in millions)<TD colspan=\"6\">Year ended December 31,</TR>",
+        "<tr><td>&nbsp;</td><td colspan='3'>2023</td><td colspan='3'>2022</td></tr>",
+        "<tr><td>Revenue</td><td>$</td><td>", _amount(sales), "</td><td></td><td>$</td><td>", _amount(before), "</td><td></td></tr>",
+        "<tr><td>Net income (loss)</td><td></td><td>(", F.format_number(-loss, 0), "</td><td>)</td><td></td><td>", _amount(gain), "</td><td></td></tr></TABLE>")
+    grouped = text(
+        "<table><caption>Segments, $ billions</caption><tr><td rowspan=2>Segment</td><td colspan=2>Fiscal year</td></tr>",
+        "<tr><td>2023</td><td>2022</td></tr><tr><td>Net sales:</td><td></td><td></td></tr>",
+        "<tr><td>Products</td><td>", n.cast("string"), ".5</td><td>2</td></tr><tr><td>Services</td><td rowspan='2'>3</td><td>4</td></tr>",
+        "<tr><td>Total net sales</td><td>6</td></tr><tr><td>Employees (in thousands)</td><td>", _amount(gain), "</td><td>8</td></tr></table>")
+    nested = text(
+        "<table><tr><td>Outer 2023</td><td>99</td></tr><tr><td><!-- <table> --><table><tr><th>Item</th><th>Fiscal 2023</th><th>2023 vs 2022</th></tr>",
+        "<tr><td>Revenue<sup>(1)</sup></td><td>&euro;", _amount(sales), "</td><td>4%</td></tr>",
+        "<tr><td>Net&nbsp;income (loss)</td><td>&#8722;", F.format_number(-loss, 0), "</td><td>n/a</td></tr>",
+        "<tr><td>Revenue</td><td>7</td><td></td></tr></table></td></tr></table>")
+    kind = n % 4
+    statement = F.when(kind == 0, plain).when(kind == 1, split).when(kind == 2, grouped).otherwise(nested)
+    number = n.cast("string")
+    return spread_table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lit("P"), (n % 20).cast("string")).alias("ticker"), F.lpad(number, 10, "0").alias("accession_number"),
+        F.when(n % 3 > 0, F.concat(F.lit("2024-0"), (F.floor(n / 20) % 9 + 1).cast("string"), F.lit("-01"))).alias("filing_date"),
+        F.replace("html", F.lit("</article>"), F.concat(statement, F.lit("</article>"))).alias("html"))
