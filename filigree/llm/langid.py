@@ -40,11 +40,16 @@ HELD = 5
 UNKNOWN = "und"
 BLOCK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 _FOLDED: list[np.ndarray] = []
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits and numbers of any kind are none."""
+    return any(found[0].isalpha() for found in _WORD.finditer(text))
+
+
 def folded() -> np.ndarray:
     """Code point to its lower-cased letter, or to a blank."""
     if not _FOLDED:
@@ -166,7 +171,7 @@ class LanguageModel:
     temperature: float
 
     def predict(self, text: str) -> tuple[str, float]:
-        if not self.languages or not _LETTER.search(text):
+        if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         logits, n = np.zeros(len(self.languages)), 0
         for block in gram_blocks(text):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
 from collections import Counter
 
 import numpy as np
@@ -15,6 +16,8 @@ import corpus_pipeline
 from filigree.llm import components, decontam, langid, quality, simhash
 from filigree.llm.queries import held_out, op1_simhash_near_dedup, op4_language_id, op5_quality, op9_decontamination, table
 
+from .test_neardup import brute_leaders
+
 
 def plain_print(text, words=4):
     parts = (text or "").encode().lower().split()
@@ -193,6 +196,25 @@ def test_odd_texts_have_no_language(spark, clashing, sf_dir):
     assert 0.2 < (model.table == 0).mean() < 1
 
 
+def test_letters_are_those_of_the_language():
+    """Numbers of every kind are no letters, on any code point."""
+    for at in range(0, sys.maxunicode + 1, 4096):
+        block = "".join(chr(p) for p in range(at, min(at + 4096, sys.maxunicode + 1)) if not 0xD800 <= p < 0xE000)
+        assert langid.has_letter(block) == any(c.isalpha() for c in block)
+        others = "".join(c for c in block if not c.isalpha())
+        assert not langid.has_letter(others)
+    for char in (chr(p) for p in range(0x3400) if chr(p).isalpha()):
+        assert langid.has_letter(f"1 {char}²")
+
+
+def test_numbers_have_no_language(spark, clashing, sf_dir):
+    model = langid.train(table(spark, sf_dir, "documents"))
+    rows = [(1, "²"), (2, "½ ①"), (3, "Ⅷ"), (4, "² a")]
+    got = {r.id: (r.lang_pred, r.score) for r in langid.predict(clashing(rows), model).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] in model.languages
+    assert [r.doc_id for r in langid.keep_identified(clashing(rows), model, 0.0).collect()] == [4]
+
+
 def test_lost_labels_do_not_change_predictions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out()))
@@ -242,9 +264,8 @@ def test_pipeline_stages_equal_brute_force(spark, sf_dir):
     want = sorted(last.values())
     assert ids("exact_dedup", kept) == want
     kept = want
-    best = plain_components([plain_print(texts[i]) for i in kept], kept)
-    want = [i for i, c in zip(kept, best) if i == c]
-    assert ids("near_dedup", kept) == want
+    want, near = brute_leaders([(i, texts[i]) for i in kept])
+    assert ids("near_dedup", kept) == want and near
     kept = want
     want = [i for i in kept if not brute_contamination(texts[i], bench)]
     assert ids("decontamination", kept) == want
