@@ -6,8 +6,9 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
-#: Pre-tokens whose ids a worker remembers; beyond that it forgets all and starts again.
-CACHED = 400_000
+#: Bytes of the pre-tokens and ids that a worker remembers, about; beyond that it forgets all and starts again. What one
+#: entry takes besides its characters, and characters of the longest pre-token that is remembered.
+CACHED_BYTES, ENTRY_BYTES, LONGEST = 96 << 20, 200, 128
 #: Characters of a text that is split as one list, and pre-tokens of a part of a longer one.
 WHOLE_CHARS, PART_TOKENS = 1 << 20, 1 << 16
 
@@ -83,6 +84,7 @@ class IdCache:
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode = encode
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def ids(self, tokens: list[str]) -> bytes:
         found = list(map(self.known.get, tokens))
@@ -90,7 +92,10 @@ class IdCache:
             fresh = list({token for token, ids in zip(tokens, found) if ids is None})
             encoded = dict(zip(fresh, self.encode(fresh)))
             found = [encoded[token] if ids is None else ids for token, ids in zip(tokens, found)]
-            if len(self.known) > CACHED:
+            if self.held > CACHED_BYTES:
                 self.known.clear()
-            self.known.update(encoded)
+                self.held = 0
+            kept = {token: ids for token, ids in encoded.items() if len(token) <= LONGEST}
+            self.held += ENTRY_BYTES * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
+            self.known.update(kept)
         return b"".join(found)

@@ -7,7 +7,8 @@ constant time, and a memory-mapped file is read without a copy. A second file be
 doc_id, start and n_tokens of the documents inside. The manifest, written by Spark, lists the files of
 successful tasks only, so a task that is run again leaves nothing that a reader would see.
 
-Defined results: a null or empty text is the end id alone; null ids of documents come first; rows of
+Defined results: a text that spells out an added token of the vocabulary holds its id, as the library does by default; a null or empty
+text is the end id alone; null ids of documents come first; rows of
 one id follow each other by the hash of their text; an empty table gives a manifest without rows;
 other columns of the input are not read.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -46,17 +48,19 @@ def class_members(name: str) -> set[int]:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file. Pre-tokens are remembered where the file is plain byte-level BPE."""
+    """Ids of texts by a tokenizer file, as the library gives them. Pre-tokens are remembered where the file is plain byte-level BPE."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         parsed = json.loads(definition)
+        added = [token["content"] for token in parsed.get("added_tokens", []) if token["content"]]
+        # Texts that spell out an added token go to the library whole, which finds it before it splits.
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         split = parsed.get("pre_tokenizer") or {}
         self.plain = (
             not parsed.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
-            and split.get("use_regex", True) and all(token.get("special") for token in parsed.get("added_tokens", []))
+            and split.get("use_regex", True)
         )
         self.splitter = Splitter(split_patterns(BYTE_LEVEL, class_members)[0], "(?!)")
         self.cache = IdCache(self._encode)
@@ -67,7 +71,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; other than Latin-1 texts go to the library whole."""
-        if self.plain and self.splitter.is_narrow(text):
+        if self.plain and self.splitter.is_narrow(text) and not self.added.search(text):
             return b"".join(self.cache.ids(part) for part in self.splitter.parts(text))
         return self._encode([text])[0]
 

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from filigree.llm import bpe, cuckoo, tokenfile
+from filigree.llm import bpe, cuckoo, pretokens, tokenfile
 from filigree.llm.queries import op7_exact_dedup, op8_token_files, op10_byte_bpe, table
 
 ODD = [
@@ -146,7 +146,6 @@ def test_ranks_with_gaps_keep_their_numbers(tmp_path):
 
 def expected_tokens(texts):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     start, out = 0, []
     for i, text in texts:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -176,6 +175,25 @@ def test_token_files_of_odd_rows(spark, odd):
     assert tokenfile.read_token_files(empty).count() == 0
 
 
+def test_added_tokens_are_those_of_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        encoder = tokenfile.Encoder(file.read())
+    library = Tokenizer.from_file(path)
+    for text in ("a<|endoftext|>b", "<|endoftext|>", " <|endoftext|><|endoftext|> x", "<|endoftext|", "é日<|endoftext|>", "plain text"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_remembered_pre_tokens_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(pretokens, "CACHED_BYTES", 10_000)
+    cache = pretokens.IdCache(lambda words: [w.encode() * 4 for w in words])
+    for i in range(300):
+        words = [f"w{i}", "x" * 100 + str(i), "y" * 5000 + str(i)]
+        assert cache.ids([*words, *words]) == b"".join(w.encode() * 4 for w in [*words, *words])
+        assert cache.held < 12_000 and all(len(w) <= pretokens.LONGEST for w in cache.known)
+        assert cache.held >= sum(len(w) + len(ids) for w, ids in cache.known.items())
+
+
 def test_sequences_are_reached_without_a_copy(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     part = tokenfile.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, length=64).first()
