@@ -92,7 +92,7 @@ def rebuilt(conversations: DataFrame, group: int = 5, shared: int = 9) -> DataFr
         .agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "bytes"))).alias("head"))
     )
     convs = runs.groupBy("conv_id").agg(F.sum("rows").alias("own")).withColumn("h", taken)
-    convs = convs.withColumn("base", F.when(F.col("h") > 0, F.col("conv_id") - F.col("conv_id") % group))
+    convs = convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % group)
     layout = convs.join(heads, "base", "left").withColumn("head", F.when(F.col("h") > 0, F.slice("head", F.lit(1), F.greatest("h", F.lit(1)))))
     m = F.when(F.col("head").isNull(), 0).otherwise(F.size("head"))
     layout = layout.select(
