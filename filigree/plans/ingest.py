@@ -13,7 +13,8 @@ from filigree.operators.chunks import process_filing
 from filigree.operators.retrieval import embed
 from filigree.session import materialize
 from filigree.sources.collection import write_chunks
-from filigree.sources.filings import FILING_KEY, company_filings, filing_files, pick_primary_document, read_documents
+from filigree.sources.filings import FILING_KEY, company_filings, pick_primary_document, read_documents
+from filigree.sources.tree import filing_tree
 
 
 def filing_documents(
@@ -22,9 +23,9 @@ def filing_documents(
 ) -> DataFrame:
     """Texts of the newest filings of the companies as plain text; of a full submission, its main document.
 
-    The tree is listed once. A filing without a document has a row with a null text.
+    The tree is listed once, by tasks. A filing without a document has a row with a null text.
     """
-    files = materialize(filing_files(spark, root), "filing-files")
+    files = materialize(filing_tree(spark, root).drop("modified"), "filing-files")
     filings = company_filings(files, companies, filing_types or R.FILING_TYPES, limit)
     picks = materialize(filings.join(pick_primary_document(files), FILING_KEY, "left"), "picks")
     documents = read_documents(picks.filter(F.col("path").isNotNull()))

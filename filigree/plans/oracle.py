@@ -807,3 +807,71 @@ oracle("extracted_trends", """
         when pv = 0 then 'Could not calculate trend: division by zero'
         else 'Placeholder: ' || data_point || ' changed by ' || printf('%.2f', round((value::double - pv) / pv * 100, 2)) || '% between '
             || py || ' and ' || year || '.' end as message from extracted_last""", ["extracted_last"])
+part("typed_word", r"""
+    select p_partkey, regexp_extract(p_name, '(\w+)', 1) as w, 'p' || p_partkey as ticker, p_name as name,
+        p_name || ' (p' || p_partkey || ')' as label from part""")
+part("typed", """
+    select p_partkey as search_id, lower(trim(case when p_partkey % 4 = 0 then w else
+        substring(w, 1, 2) || substring(w, 4, 3) || 'x' || substring(w, 7, 20) end)) as text from typed_word""", ["typed_word"])
+part("typed_pair", r"""
+    select t.search_id, t.text, c.ticker, c.name, c.label, contains(lower(c.label), t.text) as inside,
+        list_min(list_transform(regexp_extract_all(lower(c.label), '[\p{L}\p{N}]+'), lambda x: levenshtein(x, t.text))) as near
+    from typed t, typed_word c where t.text <> ''""", ["typed", "typed_word"])
+oracle("search_companies_typed", """
+    select search_id, rank, ticker, name, distance from (
+        select search_id, ticker, name, case when inside then 0 else near end::int as distance,
+            row_number() over (partition by search_id order by not inside, case when inside then 0 else near end, label, ticker)::int as rank
+        from typed_pair
+        where inside or near <= case when length(text) >= 8 then 2 when length(text) >= 4 then 1 else 0 end)
+    where rank <= 5""", ["typed_pair"])
+part("profile_10", profile("m", R.HISTORY_WINDOW), ["m"])
+oracle("history_stream", f"""
+    select conv_id, {line('topics')} as topics, {line('companies')} as companies, {line('sections')} as sections,
+        {line('asked')} as asked from profile_10""", ["profile_10"])
+
+# -- both routes and the tree as a source -----------------------------------
+
+part("agent_question", f"select * from question where {_to_agent}", ["question"])
+lexical_parts("agentq", "agent_question", 5, ["agent_question"])
+part("agentq_trace", f"""
+    select query_id, list_sort(list(distinct section)) as sections, {grouped('lower(content)', {t: [t] for t in D.AGENT.topics})} as topics
+    from agentq_hits join chunks using (chunk_id) group by query_id""", ["agentq_hits", "chunks"])
+part("agentq_1", f"""
+    select q.query_id, q.companies, q.answer, coalesce(t.sections, []) as sections, coalesce(h.hist, []) as hist,
+        {both(_agent_topics, f"list_concat(coalesce(t.topics, []), {word_tag('lower(q.answer)', D.AGENT.topics)})")} as topics,
+        q.companies[1] as company, coalesce(q.companies[1], 'the company') as ref
+    from agent_question q left join agentq_trace t using (query_id) left join (
+        select conv_id, {grouped('lower(content)', {t: [t] for t in D.AGENT.history_topics})} as hist
+        from (select * from before_question qualify row_number() over (partition by conv_id order by turn desc) <= 10)
+        where role = 'user' group by 1) h on h.conv_id = q.conv_id""", ["agent_question", "agentq_trace", "before_question"])
+part("agentq_2", f"""
+    select *, list_filter([
+        case when list_has_any(topics, ['financial', 'revenue']) then
+            case when list_contains(hist, 'growth') then 'What factors are driving ' || ref || '''s growth according to recent filings?'
+            else 'How has ' || ref || '''s financial performance trended over the past 3 years?' end end,
+        case when list_contains(sections, 'Risk Factors')
+            then 'What strategies does ' || ref || ' mention for mitigating these risks?' end,
+        'What does the ' || {without(strings(D.AGENT.sections), 'sections')}[1] || ' section reveal about ' || ref || '?',
+        case when len(companies) = 1 and list_contains({strings(D.AGENT.peers)}, company) then 'How does ' || company || '''s approach to '
+            || coalesce({both('topics', 'hist')}[1], topics[1], 'business strategy') || ' compare to '
+            || {without(strings(D.AGENT.peers), '[company]')}[1] || '?' end], lambda x: x is not null) as s
+    from agentq_1""", ["agentq_1"])
+part("agentq_3", f"""
+    select query_id, list_concat(s, case when len(s) < 2 then {without(
+        "[" + ", ".join("replace(" + lit(g) + ", '{company}', ref)" for g in R.AGENT_GENERAL) + "]", "s")}[1:2 - len(s)]
+        else cast([] as varchar[]) end)[1:3] as s from agentq_2""", ["agentq_2"])
+part("agentq_cited", """
+    select query_id, string_agg(c, '|' order by r) as citations from (
+        select query_id, ticker || '/' || ticker || '/' || filing_type || ' (Unknown)/' || section as c, min(rank) as r
+        from agentq_hits join chunks using (chunk_id) group by all) group by query_id""", ["agentq_hits", "chunks"])
+oracle("ask_both_routes", f"""
+    select query_id, case when citations is null then {lit(R.NO_HITS_ANSWER)} else answer end as answer,
+        coalesce(citations, '') as citations, case when citations is null then '' else {line('s')} end as suggested_queries
+    from question left join question_cited using (query_id) join suggested using (query_id) where not {_to_agent}
+    union all
+    select query_id, answer, coalesce(citations, ''), {line('s')}
+    from agent_question left join agentq_cited using (query_id) join agentq_3 using (query_id)""",
+       ["question", "question_cited", "suggested", "agent_question", "agentq_cited", "agentq_3"])
+_tree_name = "case page_id % 5 when 0 then 'exhibit.pdf' when 1 then 'full-submission.txt' else 'primary.htm' end"
+oracle("filing_tree", f"select ticker, '10-K' as filing_type, accession_number, {_tree_name} as file_name from tree", ["tree"])
+oracle("filing_tree_stream", f"select ticker, '10-K' as filing_type, accession_number, {_tree_name} as file_name from tree", ["tree"])

@@ -23,6 +23,7 @@ from filigree.operators import context as K
 from filigree.operators import conversation as V
 from filigree.operators import dictionary as J
 from filigree.operators import facts as N
+from filigree.operators import lookup as H
 from filigree.operators import postings as Z
 from filigree.operators import retrieval as Q
 from filigree.operators import routing as G
@@ -38,6 +39,8 @@ from filigree.session import materialize, scratch_path
 from filigree.sources import collection as L
 from filigree.sources import companies as B
 from filigree.sources import filings as E
+from filigree.sources import tree as A
+from filigree.streaming import history_stream as HS
 from filigree.streaming import ingest_stream as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +113,17 @@ def search_companies(spark, sf):
     return B.search_companies(companies, "7 (AUTO")
 
 
+@query
+def search_companies_typed(spark, sf):
+    """Names of parts as companies, and for every part what a user may type: its first word, for most with letters wrong or missing."""
+    companies = D.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("ticker"), F.col("p_name").alias("name"))
+    word = F.regexp_extract("p_name", r"(\w+)", 1)
+    wrong = F.concat(F.substring(word, 1, 2), F.substring(word, 4, 3), F.lit("x"), F.substring(word, 7, 20))
+    typed = D.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("search_id"), F.when(F.col("p_partkey") % 4 == 0, word).otherwise(wrong).alias("text"))
+    return H.search_many(companies, typed, 5)
+
+
 @query
 def selectable_company(spark, sf):
     selections = D.table(spark, sf, "events").select("event_id", F.col("user_id").alias("ticker"))
@@ -185,6 +199,24 @@ def ingest_report(spark, sf):
     return Y.ingest(spark, tree, D.filers(spark, sf), path, ["10-K"], EVERY).drop("filing_type")
 
 
+@query
+def filing_tree(spark, sf):
+    """Every file of the tree, listed by tasks."""
+    found = A.filing_tree(spark, D.filing_tree(spark, sf))
+    return found.select("ticker", "filing_type", "accession_number", "file_name")
+
+
+@query
+def filing_tree_stream(spark, sf):
+    """The same files by a stream that is started twice."""
+    root, seen, state = D.filing_tree(spark, sf), scratch_path(spark, "seen"), scratch_path(spark, "state")
+    for _ in range(2):
+        stream = A.filing_tree_stream(spark, root, 0).select("ticker", "filing_type", "accession_number", "file_name")
+        started = stream.writeStream.format("parquet").option("path", seen).option("checkpointLocation", state).trigger(availableNow=True).start()
+        started.awaitTermination()
+    return spark.read.parquet(seen)
+
+
 @query
 def valid_accession(spark, sf):
     orders = D.table(spark, sf, "orders").select("o_orderkey", D.accession().alias("accession"))
@@ -602,6 +634,17 @@ def history_profile(spark, sf):
     return found.select("conv_id", *[line(c).alias(c) for c in ("topics", "companies", "sections", "asked")])
 
 
+@query
+def history_stream(spark, sf):
+    """Profiles of the histories that a stream of all messages has kept."""
+    schema = D.table(spark, sf, "conversations").schema
+    arrived = I.read_document_stream(spark, sf, schema, "conversations.parquet").withColumnRenamed("text", "content")
+    path = scratch_path(spark, "histories")
+    HS.history_stream(arrived, path, scratch_path(spark, "stream"))
+    found = V.history_profile(HS.latest(spark, path), D.RULES)
+    return found.select("conv_id", *[line(c).alias(c) for c in ("topics", "companies", "sections", "asked")])
+
+
 @query
 def user_topics(spark, sf):
     return V.user_topics(D.messages(spark, sf), D.WORDS).select("conv_id", line("topics").alias("topics"))
@@ -730,6 +773,19 @@ def ask(spark, sf):
     return _responses(asked.responses(requests.select("query_id", "answer"), D.RULES))
 
 
+@query
+def ask_both_routes(spark, sf):
+    """Every question by its route to a response: retrieval, or the agent, whose record is one call of the retriever tool."""
+    requests, before = D.every_question(spark, sf)
+    index = Q.term_index(D.chunks(spark, sf))
+    asked = ask_flow(index, requests.drop("answer"), before)
+    found = F.array_sort(F.collect_list(F.struct("rank", "content", "metadata")))
+    results = F.transform(found, lambda x: F.struct(x["content"].alias("content"), x["metadata"].alias("metadata")))
+    steps = Q.retrieve_sections(index, asked.by_agent).groupBy("query_id").agg(results.alias("results"))
+    steps = materialize(steps.select("query_id", F.lit(0).alias("step_no"), F.lit(R.RETRIEVER_TOOL).alias("tool"), "results"), "steps")
+    return _responses(asked.responses(requests.select("query_id", "answer"), D.RULES, steps, D.AGENT))
+
+
 @query
 def ask_prompts(spark, sf):
     requests, before = D.every_question(spark, sf)
