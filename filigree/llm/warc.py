@@ -2,7 +2,7 @@
 
 A file begins with a skippable frame that holds the dictionary; every record after it is a frame of its own, compressed
 with that dictionary, so a record is read alone and any reader of the file has all it needs. The dictionary is built
-once for all files from a bounded sample of the records to be written (`SAMPLE` rows by a hash, `SAMPLE_BYTES` of each);
+once for all files from a bounded sample of the records to be written (about `SAMPLE` rows, `SAMPLE_BYTES` of each);
 it changes the size of the files, never their content. A sample too small to train on serves as the dictionary itself.
 
 Pages of equal payload (by SHA-256, if of at least `least_bytes`) are found by a group of digests, combined before the
@@ -37,7 +37,7 @@ from filigree.session import materialize, open_uri, scratch_path
 DICTIONARY_MAGIC = 0x184D2A5D
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 8_192, 112_640
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, SEED = 1_000, 8_192, 112_640, 7
 #: Length of the segments the dictionary is put together from; given, so that no search for it is made.
 SEGMENT = 256
 LEVEL = 3
@@ -165,10 +165,10 @@ def with_keepers(pages: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def sample_dictionary(pages: DataFrame, date: str) -> bytes:
-    """The dictionary from a bounded sample: the records of the pages with the smallest hashes."""
-    order = [F.xxhash64("page_id", "url"), F.col("page_id"), F.col("url")]
-    picked = pages.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy(*order).limit(SAMPLE).collect()
-    return trained([record(r.page_id, r.url, r.html.encode()[:SAMPLE_BYTES], None, False, date) for r in picked])
+    """The dictionary from a bounded sample: the records of about `SAMPLE` rows drawn where they lie, at most twice as many."""
+    share = SAMPLE / max(1, pages.count())
+    drawn = pages.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).where(F.rand(SEED) < share)
+    return trained([record(r.page_id, r.url, r.html.encode()[:SAMPLE_BYTES], None, False, date) for r in drawn.limit(2 * SAMPLE).collect()])
 
 
 def write_archives(
