@@ -53,6 +53,9 @@ class Encoder:
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(definition)
+        # Pre-tokens of a text without added tokens hold none, so the search for them is left out, which is much of a short word's time.
+        self.words = Tokenizer.from_str(definition)
+        self.words.encode_special_tokens = True
         parsed = json.loads(definition)
         added = [token["content"] for token in parsed.get("added_tokens", []) if token["content"]]
         # Texts that spell out an added token go to the library whole, which finds it before it splits.
@@ -63,17 +66,18 @@ class Encoder:
             and split.get("use_regex", True)
         )
         self.splitter = Splitter(split_patterns(BYTE_LEVEL, class_members)[0], "(?!)")
-        self.cache = IdCache(self._encode)
+        self.cache = IdCache(lambda words: self._encode(self.words, words))
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    @staticmethod
+    def _encode(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, "<u4").tobytes() for one in found]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; other than Latin-1 texts go to the library whole."""
         if self.plain and self.splitter.is_narrow(text) and not self.added.search(text):
             return b"".join(self.cache.ids(part) for part in self.splitter.parts(text))
-        return self._encode([text])[0]
+        return self._encode(self.tokenizer, [text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
