@@ -638,7 +638,7 @@ def history_profile(spark, sf):
 def history_stream(spark, sf):
     """Profiles of the histories that a stream of all messages has kept."""
     schema = D.table(spark, sf, "conversations").schema
-    arrived = I.read_document_stream(spark, sf, schema, "conversations.parquet").withColumnRenamed("text", "content")
+    arrived = I.read_document_stream(spark, f"{sf}/conversations[.]parquet", schema).withColumnRenamed("text", "content")
     path = scratch_path(spark, "histories")
     HS.history_stream(arrived, path, scratch_path(spark, "stream"))
     found = V.history_profile(HS.latest(spark, path), D.RULES)

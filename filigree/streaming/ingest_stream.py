@@ -12,7 +12,11 @@ from filigree.sources.collection import write_chunks
 
 def read_document_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet",
                          files_per_batch: int = 1000) -> DataFrame:
-    """A file stream over a folder of Parquet documents."""
+    """A file stream over Parquet documents: the files of a folder that fit `glob`.
+
+    `path` may be a pattern of files and folders, as `/in/documents[.]parquet` for a table that is one or the other: a
+    stream does not open a single file by its plain name, and `glob` is held against names of files alone.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
 

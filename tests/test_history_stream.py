@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigree.operators.conversation import history_profile, last_n_messages
+from filigree.plans.registry import REGISTRY
 from filigree.rules import FollowupRules
 from filigree.streaming.history_stream import history_stream, latest
 
@@ -33,3 +34,12 @@ def test_many_batches_equal_the_whole(spark, tmp_path, order):
     profiles = [history_profile(m, FollowupRules()).orderBy("conv_id").collect() for m in (found, every)]
     assert profiles[0] == profiles[1] and len(profiles[0]) == 7
     assert spark.read.parquet(path).select(F.max(F.size("turns"))).first()[0] == 10
+
+
+@pytest.mark.parametrize("name", ["history_stream"])
+def test_tables_that_are_folders(spark, sf_dir, tmp_path, name):
+    """A table of many files gives the rows of the table in one file."""
+    for table in ("conversations", "documents"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(5).write.parquet(str(tmp_path / f"{table}.parquet"))
+    found, wanted = (REGISTRY[name](spark, str(place)) for place in (tmp_path, sf_dir))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect())) and wanted.count()
