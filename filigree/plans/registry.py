@@ -157,7 +157,7 @@ def write_chunks(spark, sf):
 @query
 def ingest_stream(spark, sf):
     schema = D.table(spark, sf, "documents").schema
-    documents = I.read_document_stream(spark, sf, schema, "documents.parquet").select(
+    documents = I.read_document_stream(spark, f"{sf}/documents[.]parquet", schema).select(
         F.col("source").alias("ticker"), F.col("lang").alias("filing_type"),
         F.col("doc_id").cast("string").alias("accession_number"), F.lit("").alias("company"),
         F.lit(None).cast("string").alias("filing_date"), "text",

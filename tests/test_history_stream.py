@@ -36,7 +36,7 @@ def test_many_batches_equal_the_whole(spark, tmp_path, order):
     assert spark.read.parquet(path).select(F.max(F.size("turns"))).first()[0] == 10
 
 
-@pytest.mark.parametrize("name", ["history_stream"])
+@pytest.mark.parametrize("name", ["history_stream", "ingest_stream"])
 def test_tables_that_are_folders(spark, sf_dir, tmp_path, name):
     """A table of many files gives the rows of the table in one file."""
     for table in ("conversations", "documents"):
