@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,34 @@ def test_one_table_for_both_routes(spark):
     assert [c.ticker for c in got["q1"].citations] == ["A"]
     assert not got["q2"].citations and {c.company for c in got["q3"].citations} == {"A", "B"}
     assert {r.route for r in asked.prompts.filter("query_id in ('q2', 'q3')").collect()} == {"agent"}
+
+
+def _search_table(rng, n, **columns):
+    values = pa.array(rng.normal(size=n * 8).astype(np.float32))
+    return pa.table({**columns, "embedding": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 8, pa.int32()), values)})
+
+
+@pytest.mark.parametrize("companies", [None, ["T1"]])
+def test_few_pairs_are_scored_exactly(monkeypatch, companies):
+    """Only scores that can still be hits are looked at, and pairs that a company filter hides are never scored."""
+    rng, n, m, tested, seen = np.random.default_rng(2), 50, 4_000, [], []
+
+    class Counted(topk.VectorScorer):
+        def scores(self, batch):
+            seen.append(len(self.vectors) * batch.num_rows)
+            return super().scores(batch)
+
+        def exact(self, line, at):
+            tested.append(len(line))
+            return super().exact(line, at)
+
+    monkeypatch.setattr(topk, "BLOCK_CELLS", 20_000)
+    asked = _search_table(rng, n, query_id=pa.array(range(n)), companies=pa.array([companies] * n, pa.list_(pa.string())))
+    rows = _search_table(rng, m, chunk_id=pa.array(range(m)), ticker=pa.array([f"T{i % 4}" for i in range(m)]))
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("ticker", pa.string()), ("score", pa.float64())])
+    found = topk._score(asked, rows, Counted, 3, schema).to_pylist()
+    a, b = (topk._matrix(topk._plain(t["embedding"]), 8) for t in (asked, rows))
+    places = range(m) if companies is None else range(1, m, 4)
+    wanted = [(q, c) for q in range(n) for c in sorted(places, key=lambda c: (-round(float(a[q] @ b[c]), 6), c))[:3]]
+    assert [(r["query_id"], r["chunk_id"]) for r in found] == wanted
+    assert sum(seen) == n * len(places) and sum(tested) < n * m / 50
