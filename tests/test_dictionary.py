@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from filigree.operators import dictionary
+from filigree.operators.dictionary import keyed_words as plain_keyed
 from filigree.operators.dictionary import match_dictionary
 
 TEXTS = "doc_id bigint, text string"
@@ -42,3 +44,13 @@ def test_many_keywords_from_a_table(spark):
     frame = match_dictionary(spark.createDataFrame(texts, TEXTS), spark.createDataFrame(words, WORDS))
     assert sorted((r.doc_id, r.rule) for r in frame.collect()) == sorted((i, f"r{i * 37 % 100}") for i in range(300))
     assert len(frame._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_words_that_add_nothing_are_not_tested(spark, monkeypatch):
+    """Short words are found by the join alone, and longer ones that hold one of their rule are left out."""
+    tested = []
+    monkeypatch.setattr(dictionary, "keyed_words", lambda words, held: tested.append({r.word for r in words.collect()}) or plain_keyed(words, held))
+    texts = [(1, "xaby \U0001f600?c"), (2, "abz"), (3, "cab q\x00r \ufffdz"), (None, "lab?"), (4, "?z?")]
+    words = [("r", "ab"), ("r", "cab q"), ("r", "xaby"), ("s", "xaby"), ("s", "?c"), ("s", "\U0001f600"), ("t", "\x00r"), ("t", "r"), ("t", "\ufffdz"), (None, "b?"), (None, "lab?")]
+    assert found(spark, texts, words) == plain(texts, words)
+    assert tested == [{"xaby", "\ufffdz"}]
