@@ -218,3 +218,28 @@ def test_few_pairs_are_scored_exactly(monkeypatch, companies):
     wanted = [(q, c) for q in range(n) for c in sorted(places, key=lambda c: (-round(float(a[q] @ b[c]), 6), c))[:3]]
     assert [(r["query_id"], r["chunk_id"]) for r in found] == wanted
     assert sum(seen) == n * len(places) and sum(tested) < n * m / 50
+
+
+def test_term_scores_are_single_and_hits_double():
+    """All pairs in single precision, one line a row; rows a millionth apart are still told apart."""
+    rng = np.random.default_rng(4)
+    weights = [rng.random(40) + 0.1 for _ in range(6)]
+    words = [f"w{i}" for i in range(40)]
+    asked = pa.table({"query_id": [f"q{i}" for i in range(6)], "companies": pa.array([None] * 6, pa.list_(pa.string())),
+                      "terms": [words] * 6, "weights": [(w / np.linalg.norm(w)).tolist() for w in weights]})
+    counts = [np.ones(40) + np.where(np.arange(40) == i % 40, 2e-5 * i, 0) for i in range(200)]
+    rows = pa.table({"chunk_id": [f"c{i:03d}" for i in range(200)], "ticker": ["T"] * 200, "terms": [words[::-1]] * 200,
+                     "counts": [c[::-1].tolist() for c in counts], "norm": [float(np.linalg.norm(c)) for c in counts]})
+    rows = topk.TermScorer.prepare(rows)
+    kernel = topk.TermScorer(asked)
+    scores = kernel.scores(rows.combine_chunks().to_batches()[0])
+    assert scores.dtype == np.float32 and scores.shape == (200, 6)
+    schema = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("ticker", pa.string()), ("score", pa.float64())])
+    kth = np.full(6, np.finfo(float).min)
+    found = topk._score(asked, rows, topk.TermScorer, 3, schema, kth).to_pylist()
+    for i, w in enumerate(weights):
+        exact = sorted((-round(float(w / np.linalg.norm(w) @ c / np.linalg.norm(c)), 6), f"c{j:03d}") for j, c in enumerate(counts))[:3]
+        assert [(-r["score"], r["chunk_id"]) for r in found if r["query_id"] == f"q{i}"] == exact
+    # A later run of a task hands on only what reaches the k-th best so far.
+    worse = rows.set_column(4, "norm", pa.array([1e3] * 200))
+    assert topk._score(asked, worse, topk.TermScorer, 3, schema, kth).num_rows == 0
