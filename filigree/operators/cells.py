@@ -145,15 +145,21 @@ def open_cells(spark: SparkSession, path: str) -> VectorCells:
     return VectorCells(path, vectors, _centres(spark, path), radii)
 
 
-def cell_order(units: np.ndarray, index_centres: np.ndarray, radii: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of each request by rising least distance of anything in them, and these distances."""
-    cells = np.array(sorted(radii), np.int64)
+def least_distances(units: np.ndarray, index_centres: np.ndarray, radii: dict[int, float], cells: np.ndarray) -> np.ndarray:
+    """The least distance of anything in a cell to each request."""
     far = np.zeros((len(units), len(cells)))
     real = cells != ZERO_CELL
     if real.any():
         far[:, real] = distances(units, index_centres[cells[real]]) - np.array([radii[c] for c in cells[real].tolist()])
     far[:, ~real] = math.sqrt(2)
     far[np.linalg.norm(units, axis=1) == 0] = 0.0  # a zero request is equally far from everything
+    return far
+
+
+def cell_order(units: np.ndarray, index_centres: np.ndarray, radii: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of each request by rising least distance of anything in them, and these distances."""
+    cells = np.array(sorted(radii), np.int64)
+    far = least_distances(units, index_centres, radii, cells)
     order = np.argsort(far, axis=1, kind="stable")
     return cells[order], np.take_along_axis(far, order, axis=1)
 
@@ -166,8 +172,43 @@ def search_cells(index: VectorCells, requests: DataFrame, k: int = 3) -> tuple[D
         todo = asked.withColumn("kth", F.lit(None).cast("double")) if kth is None else asked.join(kth, "query_id", "left")
         return _pairs(todo, index, start, stop)
 
+    centres, radii = index.centres, index.radii
+
+    def within(requests: pa.Table, rows: pa.Table, place: np.ndarray, parts: list[int], kth: np.ndarray) -> np.ndarray:
+        units = _units(requests["embedding"].combine_chunks())
+        return least_distances(units, centres, radii, np.array(parts, np.int64)) <= _reach(kth)[:, None]
+
     corpus = index.vectors.select("chunk_id", "ticker", "embedding", "part")
-    return best_first(corpus, asked.schema["query_id"].dataType, pairs, len(index), VectorScorer, k)
+    return best_first(corpus, asked, pairs, lambda todo, start: _reached(todo, index, start), within, len(index), VectorScorer, k)
+
+
+def _units(vectors: pa.Array) -> np.ndarray:
+    return _matrix(vectors, len(vectors[0]))
+
+
+def _reach(kth: np.ndarray) -> np.ndarray:
+    """The greatest distance of a hit that is no worse than the k-th; anything, where there is none."""
+    some = kth >= -2  # not NaN, and no mark for a missing score
+    return np.where(some, np.sqrt(np.maximum(0, 2 - 2 * (np.where(some, kth, 0.0) - SLACK))) + FLOAT_SLACK, np.inf)
+
+
+def _reached(todo: DataFrame, index: VectorCells, start: int) -> DataFrame:
+    """(part, pairs, fresh): how many requests reach a cell, and for how many it comes after the first `start` ones."""
+    centres, radii = index.centres, index.radii
+    cells = np.array(sorted(radii), np.int64)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, fresh = np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                order, far = cell_order(_units(part.column("embedding")), centres, radii)
+                reached = far <= _reach(part.column("kth").to_numpy(zero_copy_only=False).astype(float))[:, None]
+                pairs += np.bincount(np.searchsorted(cells, order[reached]), minlength=len(cells))
+                fresh += np.bincount(np.searchsorted(cells, order[:, start:][reached[:, start:]]), minlength=len(cells))
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(pairs), pa.array(fresh)], ["part", "pairs", "fresh"])
+
+    return todo.select("embedding", "kth").mapInArrow(run, "part bigint, pairs bigint, fresh bigint")
 
 
 def _pairs(todo: DataFrame, index: VectorCells, start: int, stop: int) -> DataFrame:
@@ -178,11 +219,9 @@ def _pairs(todo: DataFrame, index: VectorCells, start: int, stop: int) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                vectors = part.column("embedding")
-                units = _matrix(vectors, len(vectors[0]))
-                cells, far = cell_order(units, centres, radii)
+                cells, far = cell_order(_units(part.column("embedding")), centres, radii)
                 kth = part.column("kth").to_numpy(zero_copy_only=False).astype(float)
-                reach = np.where(np.isnan(kth), np.inf, np.sqrt(np.maximum(0, 2 - 2 * (kth - SLACK))) + FLOAT_SLACK)
+                reach = _reach(kth)
                 # Nothing after the first cell out of reach is asked for, as the bounds rise.
                 line, place = np.nonzero(far[:, start:stop] <= reach[:, None])
                 rows = part.select(["query_id", "companies", "embedding"]).take(pa.array(line))

@@ -70,3 +70,18 @@ def test_empty_index_and_no_requests(spark):
     assert M.knn_clustered(index, asked.limit(0), frame).count() == 0
     assert hits(M.knn_clustered(index, asked, frame)) == {1: [1]}
     assert sorted(index.radii) == [0]
+
+
+def test_no_row_is_written_for_a_pair(spark, monkeypatch):
+    """Vectors without groups: requests reach nearly all cells, but are written for the first five only."""
+    from filigree.operators import parts
+    folders = []
+    monkeypatch.setattr(parts, "scratch_path", lambda spark, name: folders.append(scratch_path(spark, name)) or folders[-1])
+    rng = np.random.default_rng(8)
+    frame = spark.createDataFrame([(i, f"T{i % 4}", rng.normal(size=16).tolist()) for i in range(600)], VECTORS)
+    asked = frame.selectExpr("chunk_id as query_id", "if(chunk_id % 2 = 0, array('T1', 'T2'), null) as companies", "embedding").where("query_id < 60")
+    index = M.build_cells(frame, scratch_path(spark, "cells"), 24)
+    found, rounds = M.search_cells(index, asked, 3)
+    assert hits(found) == hits(Q.knn_search(frame, asked, 3))
+    assert rounds[-1]["pairs"] > 5 * 60
+    assert sum(spark.read.parquet(f).count() for f in folders if "asked-parts" in f) <= 5 * 60
