@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from filigree.functions.text import strip_space
 from filigree.operators import terms as tf
@@ -82,36 +76,8 @@ def compare_texts(pairs: DataFrame, texts: str = "texts", focus: list[str] | Non
 def compare_weights(pairs: DataFrame, words: tf.Vocabulary, key: str = "pair_id", texts: str = "texts") -> DataFrame:
     """(key, other, cosine): tf-idf cosine of the first text of a row with each other one.
 
-    The term lists of a row's texts come together in one row, where the products are summed; only rare terms
-    are rows of their own, to fetch their idf. The cosine with a text without terms is 0. `key` is unique.
+    Products are summed where the texts of a row are read; only rare terms are rows of their own, to fetch their
+    idf. The cosine with a text without terms is 0. `key` is unique.
     """
-    split = pairs.filter(F.size(texts) >= 2).select(key, F.posexplode(texts).alias("other", "text"))
-    rows = tf.weights(tf.counted_terms(split, [key, "other"], "text"), [key, "other"], words)
-    sides = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("other", "terms", "weights", "rare"))).alias("sides"))
-    schema = T.StructType([pairs.schema[key], T.StructField("other", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("sides")
-            other, terms, weights, rare = lists.flatten().flatten()
-            lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lengths)
-            values = weights.flatten().to_numpy(zero_copy_only=False).copy()
-            pos, weight = rare.flatten().flatten()
-            fetched = pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False)
-            values[np.repeat(ends - lengths, fetched) + pos.to_numpy()] = weight.to_numpy()
-            codes = terms.flatten().dictionary_encode().indices.to_numpy()
-            norms = np.sqrt(np.bincount(np.repeat(np.arange(len(lengths)), lengths), values * values, len(lengths)))
-            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            first = np.searchsorted(row, row)
-            asked = np.flatnonzero(first != np.arange(len(row)))
-            cosines = np.zeros(len(asked))
-            for i, side in enumerate(asked.tolist()):
-                a, b = (slice(ends[s] - lengths[s], ends[s]) for s in (first[side], side))
-                _, x, y = np.intersect1d(codes[a], codes[b], assume_unique=True, return_indices=True)
-                norm = norms[first[side]] * norms[side]
-                cosines[i] = values[a][x] @ values[b][y] / norm if norm else 0.0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row[asked])), other.take(pa.array(asked)), pa.array(cosines)], schema.fieldNames())
-
-    return sides.mapInArrow(run, schema).withColumn("cosine", F.round("cosine", 4))
+    found = tf.cosines(pairs.filter(F.size(texts) >= 2), key, texts, words)
+    return found.withColumn("cosine", F.round(F.coalesce("cosine", F.lit(0.0)), 4))
