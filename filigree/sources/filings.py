@@ -104,6 +104,9 @@ def read_documents(picks: DataFrame) -> DataFrame:
                 row = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], schema.fieldNames())
 
-    # Paths are a small table, and reading what they name is not: every path may go to another task.
-    opened = picks.repartition("path").mapInArrow(read, schema)
+    # Paths are a small table, and reading what they name is not. With a given number the partitions stay apart, whatever
+    # the size of the paths; otherwise adaptive execution would merge them into one task.
+    spark = picks.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    opened = picks.repartition(tasks, "path").mapInArrow(read, schema)
     return opened.select(*picks.columns, valid_utf8(F.col("content")).alias("text"))

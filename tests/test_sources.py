@@ -131,3 +131,14 @@ def test_company_lists(spark):
     assert {r.ticker: r.display_name for r in B.company_display_name(rows, B.display_names(spark)).collect()} == {
         "AAPL": "Apple", "ZZZ": "ZZZ", "TSLA": "Tesla"}
     assert [r.ticker for r in B.selectable_company(rows, dim).collect()] == ["AAPL"]
+
+
+def test_documents_are_read_by_many_tasks(spark, tmp_path):
+    """The paths are few bytes, which adaptive execution would give to one task."""
+    rows = []
+    for i in range(64):
+        (tmp_path / f"{i}.htm").write_text(f"page {i}")
+        rows.append((i, str(tmp_path / f"{i}.htm")))
+    found = E.read_documents(spark.createDataFrame(rows, "n long, path string"))
+    got = [(r.n, r.text, r.task) for r in found.select("n", "text", F.spark_partition_id().alias("task")).collect()]
+    assert {(n, text) for n, text, _ in got} == {(i, f"page {i}") for i in range(64)} and len({task for *_, task in got}) > 1
