@@ -243,3 +243,67 @@ def test_term_scores_are_single_and_hits_double():
     # A later run of a task hands on only what reaches the k-th best so far.
     worse = rows.set_column(4, "norm", pa.array([1e3] * 200))
     assert topk._score(asked, worse, topk.TermScorer, 3, schema, kth).num_rows == 0
+
+
+@pytest.mark.parametrize(("k", "companies"), [(1, None), (3, None), (3, ["T1"]), (400, None), (3, "some")])
+def test_lists_find_what_the_scan_finds(monkeypatch, k, companies):
+    """Many requests meet posting lists: no pair is scored by the scan, and the hits are those of brute force in any run."""
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(300)])
+    falling = 1 / np.arange(1, 301)
+    half = np.where(np.arange(300) % 2 == 0, falling, falling / 50)
+
+    def texts(n, size):
+        return [sorted(set(rng.choice(words, rng.integers(1, size), p=(p := half if i % 2 else half[::-1]) / p.sum()).tolist())) for i in range(n)]
+
+    def table(lists, **columns):
+        flat = rng.integers(1, 4, sum(map(len, lists))).astype(float)
+        cut = np.split(flat, np.cumsum([len(x) for x in lists])[:-1])
+        return cut, pa.table({**columns, "terms": pa.array(lists, pa.list_(pa.string()))})
+
+    asked_terms = [*texts(60, 12), ["unknown"], ["w0"], []]
+    weights, asked = table(asked_terms, query_id=[f"q{i:02d}" for i in range(63)])
+    weights = [w / np.linalg.norm(w) if len(w) else w for w in weights]
+    lists = [None if companies is None else ["T1"] if companies == ["T1"] or i % 3 == 0 else [] if i % 3 == 1 else ["T0", "T2"] for i in range(63)]
+    asked = asked.append_column("companies", pa.array(lists, pa.list_(pa.string()))).append_column("weights", pa.array(weights, pa.list_(pa.float64())))
+    row_terms = texts(700, 40)
+    row_terms[50:90] = [row_terms[50]] * 40  # ties
+    row_terms[5] = []
+    counts, rows = table(row_terms, chunk_id=[f"c{i:03d}" for i in range(700)], ticker=[f"T{i % 4}" for i in range(700)])
+    counts[50:90] = [np.ones(len(row_terms[50]))] * 40
+    norms = [float(np.linalg.norm(c)) for c in counts]
+    rows = rows.append_column("counts", pa.array(counts, pa.list_(pa.float64()))).append_column("norm", pa.array(norms))
+    for name, value in (("LISTED_REQUESTS", 1), ("GROUP_ROWS", 60), ("FREQUENT", 8), ("CENTRE_TERMS", 40), ("LINE_CELLS", 2_000), ("LIST_CELLS", 3_000),
+                        ("EXACT_PAIRS", 100), ("FIRST_ROWS", 10)):
+        monkeypatch.setattr(topk, name, value)
+    monkeypatch.setattr(topk.TermScorer, "scores", lambda self, batch: pytest.fail("scored by the scan"))
+    schema = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("ticker", pa.string()), ("score", pa.float64())])
+    kth = np.full(63, np.finfo(float).min)
+    found = [h for start in (0, 300, 600) for h in topk._score(
+        asked, topk.TermScorer.prepare(rows.slice(start, 300).combine_chunks()), topk.TermScorer, k, schema, kth).to_pylist()]
+    by_row = [dict(zip(t, c / n)) for t, c, n in zip(row_terms, counts, norms)]
+    for i, names in enumerate(asked_terms):
+        scored = [(-round(sum(w * by_row[j][t] for t, w in zip(names, weights[i]) if t in by_row[j]), 6), f"c{j:03d}")
+                  for j in range(700) if set(names) & by_row[j].keys() and (not lists[i] or f"T{j % 4}" in lists[i])]
+        got = sorted((-h["score"], h["chunk_id"]) for h in found if h["query_id"] == f"q{i:02d}")[:k]
+        assert [c for _, c in got] == [c for _, c in sorted(scored)[:k]]
+
+
+def test_lists_look_at_few_rows(monkeypatch):
+    """Rows that share only frequent terms with a request are bounded, not multiplied out, and none of them is scored exactly."""
+    n, exact = 20_000, []
+    terms = [["the", "of", f"rare{i % 1000}", f"own{i}"] for i in range(n)]
+    rows = pa.table({"chunk_id": [f"c{i:05d}" for i in range(n)], "ticker": ["T"] * n, "terms": terms,
+                     "counts": [[0.2, 0.2, 1.0, 1.0]] * n, "norm": [1.5] * n})
+    asked = pa.table({"query_id": [f"q{i}" for i in range(2000)], "companies": pa.array([None] * 2000, pa.list_(pa.string())),
+                      "terms": [["the", "of", f"rare{i % 1000}"] for i in range(2000)], "weights": [[0.1, 0.1, 0.99]] * 2000})
+    scored = topk.TermLists._exact
+    monkeypatch.setattr(topk, "FREQUENT", 2)
+    monkeypatch.setattr(topk.TermLists, "_exact", lambda self, pair, at, asked: exact.append(len(at)) or scored(self, pair, at, asked))
+    schema = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("ticker", pa.string()), ("score", pa.float64())])
+    kth = np.full(2000, np.finfo(float).min)
+    met = topk.Met(topk.TermScorer.prepare(rows), topk.TermScorer)
+    assert topk._found(met, asked, 3, schema, kth).num_rows == 6000
+    exact.clear()
+    assert topk._found(met, asked, 3, schema, kth).num_rows == 6000
+    assert sum(exact) == 20 * 2000  # of 40,000,000 pairs
