@@ -179,7 +179,8 @@ def search_cells(index: VectorCells, requests: DataFrame, k: int = 3) -> tuple[D
         return least_distances(units, centres, radii, np.array(parts, np.int64)) <= _reach(kth)[:, None]
 
     corpus = index.vectors.select("chunk_id", "ticker", "embedding", "part")
-    return best_first(corpus, asked, pairs, lambda todo, start: _reached(todo, index, start), within, len(index), VectorScorer, k)
+    rows = lambda parts: corpus.where(F.col("part").isin(parts))
+    return best_first(rows, asked, pairs, lambda todo, start: _reached(todo, index, start), within, len(index), VectorScorer, k)
 
 
 def _units(vectors: pa.Array) -> np.ndarray:
