@@ -307,3 +307,38 @@ def test_lists_look_at_few_rows(monkeypatch):
     exact.clear()
     assert topk._found(met, asked, 3, schema, kth).num_rows == 6000
     assert sum(exact) == 20 * 2000  # of 40,000,000 pairs
+
+
+def test_scores_of_vectors_take_no_new_place():
+    """Every batch of a run is scored in the same memory; flags are read in words, wherever they stand."""
+    rng = np.random.default_rng(8)
+    asked = _search_table(rng, 5, query_id=pa.array(range(5)), companies=pa.array([None] * 5, pa.list_(pa.string())))
+    batches = _search_table(rng, 90, chunk_id=pa.array(range(90))).combine_chunks().to_batches(max_chunksize=40)
+    kernel = topk.VectorScorer(asked)
+    first = kernel.scores(batches[0])
+    wanted = kernel.rows @ kernel.vectors.T
+    assert first == pytest.approx(wanted, abs=1e-5)
+    assert np.shares_memory(first, kernel.scores(batches[1])) and kernel.scores(batches[2]).shape == (10, 5)
+    for n in (0, 1, 7, 8, 9, 100):
+        flags = rng.random(n) < 0.2
+        assert topk._places(flags).tolist() == np.flatnonzero(flags).tolist()
+
+
+@pytest.mark.parametrize("rows", [1, 10**9])
+def test_a_sample_gives_the_first_kth_best(spark, monkeypatch, rows):
+    """Blocks of requests know the k-th best score of a sample, ties, zero vectors and company filters included; the hits stay."""
+    monkeypatch.setattr(topk, "SAMPLED_ROWS", rows)
+    monkeypatch.setattr(topk, "SHARE", 2)
+    corpus, asked = vectors(), []
+    stored = topk._stored
+    monkeypatch.setattr(topk, "_stored", lambda *args: asked.append(stored(*args)) or asked[-1])
+    requests = [(i, [None, [], ["T0"], ["T1", "T2"], ["none"]][i % 5], corpus[i][2]) for i in range(11)]
+    v = spark.createDataFrame(corpus, "chunk_id long, ticker string, embedding array<float>").repartition(3)
+    r = spark.createDataFrame(requests, "query_id long, companies array<string>, embedding array<float>")
+    got = {}
+    for row in Q.knn_search(v, r, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.chunk_id)
+    assert got == {q: ids for q, ids in brute_vectors(corpus, requests, 4).items() if ids}
+    blocks = spark.read.parquet(asked[0][1])
+    assert ("kth" in blocks.columns) == (rows == 1)
+    assert rows > 1 or blocks.where("kth > -1").count() > 5
